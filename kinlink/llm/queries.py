@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from kinlink.llm.packing import op2_packing
+from kinlink.llm.quality import op5_quality
+from kinlink.llm.simhash import op6_simhash
 from kinlink.llm.token_store import op9_token_store
 from kinlink.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
+    "op5_quality": op5_quality,
+    "op6_simhash": op6_simhash,
     "op9_token_store": op9_token_store,
 }
 SQL = {"op1_warc": OP1_SQL}
