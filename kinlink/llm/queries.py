@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from kinlink.llm.license import op8_license
 from kinlink.llm.packing import op2_packing
 from kinlink.llm.quality import op5_quality
 from kinlink.llm.simhash import op6_simhash
 from kinlink.llm.token_store import op9_token_store
+from kinlink.llm.toxicity import op3_toxicity
+from kinlink.llm.urls import op10_urls
 from kinlink.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op8_license": op8_license,
     "op9_token_store": op9_token_store,
+    "op10_urls": op10_urls,
 }
 SQL = {"op1_warc": OP1_SQL}
