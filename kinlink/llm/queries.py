@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from kinlink.llm.decontaminate import op7_decontaminate
 from kinlink.llm.license import op8_license
 from kinlink.llm.packing import op2_packing
+from kinlink.llm.pii import op4_pii
 from kinlink.llm.quality import op5_quality
 from kinlink.llm.simhash import op6_simhash
 from kinlink.llm.token_store import op9_token_store
@@ -15,8 +17,10 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op8_license": op8_license,
     "op9_token_store": op9_token_store,
     "op10_urls": op10_urls,
