@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import ship, table
 from kinlink.llm.tokens import encoder
 
+AT_ONCE = 256
 TIERS = (256, 512, 1024, 2048, 4096)
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
@@ -152,11 +153,12 @@ def _pack(vocabulary: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(_NAMES), _TYPES)], _NAMES)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py())
-                packer.add((key, ids), len(ids) // 4)
-                if packer.tokens >= pool_tokens:
-                    yield emit(False)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    packer.add((key, ids), len(ids) // 4)
+                    if packer.tokens >= pool_tokens:
+                        yield emit(False)
         yield emit(True)
 
     return run

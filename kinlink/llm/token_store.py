@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import open_store, scratch, ship, table
 from kinlink.llm.tokens import encoder
 
+AT_ONCE = 256
 FILE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), pa.field("ids", pa.list_(pa.field("element", pa.uint32())))])
 MANIFEST = "part long, number long, file string, n_docs long, n_tokens long, first_doc long, last_doc long"
 
@@ -63,7 +64,8 @@ def _writer(folder: str, vocabulary: str, end_id: int, group_tokens: int, file_t
 
         last = None
         for batch in batches:
-            for last, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            pairs = (x for at in range(0, batch.num_rows, AT_ONCE) for x in zip(batch.column(0).slice(at, AT_ONCE).to_pylist(), encode(batch.column(1).slice(at, AT_ONCE).to_pylist())))
+            for last, ids in pairs:
                 if out is None:
                     stream = open_store(f"{name}-{len(closed):05d}.parquet")
                     stream = stream[0].open_output_stream(stream[1])
@@ -72,7 +74,6 @@ def _writer(folder: str, vocabulary: str, end_id: int, group_tokens: int, file_t
                         column_encoding={c: "DELTA_BINARY_PACKED" for c in ("doc_id", "start", "n_tokens")},
                     )
                     n_docs, n_tokens, first = 0, 0, last
-                ids = encode(text.as_py())
                 group.append((last, n_tokens, ids))
                 n_docs, n_tokens, held = n_docs + 1, n_tokens + len(ids) // 4, held + len(ids) // 4
                 if held >= group_tokens:

@@ -11,9 +11,14 @@ import json
 import os
 import re
 import struct
+from collections import ChainMap
+
+import numpy as np
 
 PLAIN = "!-~¡-ɏ"
-KEEP = 1 << 18
+KEEP = 1 << 19
+SEPARATOR = "\0"
+AT_ONCE = 128
 
 
 def vocabulary(name_or_path: str) -> str:
@@ -25,28 +30,10 @@ def vocabulary(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-class _Known(dict):
-    """The ids of pieces, learned from the library when first asked for; the oldest go when KEEP are held."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
-        if len(piece) <= 64:
-            if len(self) >= KEEP:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class TextEncoder:
-    """encode(text) gives the ids' bytes, with end_id appended. It keeps the ids of the pieces used last, KEEP to 2 * KEEP of them."""
+    """encode(texts) gives each text's ids' bytes, with end_id appended. It keeps the ids of the pieces used last, KEEP to 2 * KEEP of them.
+
+    New pieces are encoded many in one call, with a separator between them whose id no other text has."""
 
     def __init__(self, name_or_path: str, end_id: int | None = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -61,18 +48,67 @@ class TextEncoder:
         self.odd = re.compile(f"[^{PLAIN} \n]|[ \n][ \n]|^[ \n]|[ \n]$") if self.spaces_stay else re.compile(f"[^{PLAIN} \n]")
         cut = f"(?<=[{PLAIN}])(?= [{PLAIN}])" if self.spaces_stay else f"(?<=[{PLAIN}])[ \n](?=[{PLAIN}])"
         self.cut = re.compile(cut)
+        self.unlike = re.compile(f"[^{PLAIN} \n]|^[ \n][ \n]|(?<=.)[ \n]" if self.spaces_stay else f"[^{PLAIN}]")
+        self.joint = SEPARATOR if self.spaces_stay else f" {SEPARATOR} "
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.known = _Known(self.tokenizer)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        found = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = found[0] if len(found) == 1 else None
 
     def pieces(self, text: str) -> list[str]:
         if self.odd.search(text):
+            self.any_odd = True
             return self.cut.split(text)
         if self.spaces_stay:
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
         return text.split()
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.pieces(text or ""))) + self.end
+    def _ids(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), AT_ONCE):
+            part = pieces[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.separator)
+            raw, ends = ids.tobytes(), (cuts * 4).tolist()
+            if len(cuts) != len(part) - 1:
+                raise ValueError("a piece has the separator's id")
+            for piece, a, b in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(raw)]):
+                self.known[piece] = raw[a:b]
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Makes all pieces known; those too long or odd to be kept are returned."""
+        apart, fresh, tailed = {}, [], []
+        for piece in pieces:
+            ids = self.old.get(piece)
+            if ids is not None:
+                self.known[piece] = ids
+            elif len(piece) > 64 or self.separator is None or self.any_odd and self.unlike.search(piece):
+                apart[piece] = self._ids(piece)
+            elif piece[-1] in ".," and piece[-2:-1].isalnum():
+                tailed.append(piece)  # a word and its stop are encoded apart in any case
+            else:
+                fresh.append(piece)
+        stems = {p[:-1] for p in tailed} | {p[-1] for p in tailed}
+        self._encode_new(fresh + [s for s in stems.difference(fresh) if s not in self.known])
+        for piece in tailed:
+            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1]]
+        return apart
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) >= KEEP:
+            self.old, self.known = self.known, {}
+        self.any_odd = False
+        lists = [self.pieces(t) if t else [] for t in texts]
+        new = set().union(*lists).difference(self.known)
+        apart = self._learn(new) if new else {}
+        if apart:
+            own = ChainMap(self.known, apart)
+            return [b"".join([own[p] for p in pieces]) + self.end for pieces in lists]
+        return [b"".join(map(self.known.__getitem__, pieces)) + self.end for pieces in lists]
 
 
 _encoders: dict[tuple, TextEncoder] = {}
