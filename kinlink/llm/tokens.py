@@ -86,7 +86,7 @@ class TextEncoder:
             ids = self.old.get(piece)
             if ids is not None:
                 self.known[piece] = ids
-            elif len(piece) > 64 or self.separator is None or self.any_odd and self.unlike.search(piece):
+            elif len(piece) > 64 or self.separator is None or piece[0] == "'" or self.any_odd and self.unlike.search(piece):  # a contraction's apostrophe must not follow the separator
                 apart[piece] = self._ids(piece)
             elif piece[-1] in ".," and piece[-2:-1].isalnum():
                 tailed.append(piece)  # a word and its stop are encoded apart in any case
