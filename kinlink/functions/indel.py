@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -74,15 +75,69 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def _windows(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """For each (shorter, longer) the best ratio over the windows; shorter has 1 to 64 characters.
+
+    The recurrence runs on all windows of all pairs at once: one lane of 64 bits a window, one step a character.
+    Characters beyond the longer string's ends match nothing, which leaves a lane as it is."""
+    masks, begins, sizes, lanes, inside = [], [], [], [], []
+    at = 0
+    for s, t in sorted(pairs, key=lambda p: -len(p[0])):
+        n, m = len(s), len(t)
+        found: dict[str, int] = {}
+        for i, c in enumerate(s):
+            found[c] = found.get(c, 0) | 1 << i
+        masks += [0] * (n - 1) + [found.get(c, 0) for c in t] + [0] * (n - 1)
+        begins.append(at)
+        sizes.append(n)
+        lanes.append(m + n - 1)
+        inside.append(m)
+        at += m + 2 * (n - 1)
+    mask, lane = np.array(masks, np.uint64), np.array(lanes)
+    n, m = np.repeat(sizes, lane), np.repeat(inside, lane)
+    first = np.cumsum(lane) - lane
+    k = np.arange(lane.sum()) - np.repeat(first, lane)
+    start = np.repeat(begins, lane) + k
+    full = ~np.uint64(0) >> (64 - n).astype(np.uint64)
+    state = full.copy()
+    for step in range(sizes[0]):
+        active = len(n) if step < n[-1] else int(np.searchsorted(-n, -step))  # lanes stand in falling order of n
+        s = state[:active]
+        u = s & mask[start[:active] + step]
+        state[:active] = (s + u) | (s - u)
+    common = n - np.bitwise_count(state & full)
+    width = np.minimum(k + 1, m) - np.maximum(k - n + 1, 0)
+    best = np.maximum.reduceat(200.0 * common / (n + width), first)
+    out = np.empty(len(pairs))
+    out[sorted(range(len(pairs)), key=lambda i: -len(pairs[i][0]))] = best
+    return out
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """partial_ratio of many pairs."""
+    out, lanes, of = [0.0] * len(pairs), [], []
+    for i, (a, b) in enumerate(pairs):
+        s, t = (a, b) if len(a) <= len(b) else (b, a)
+        if not s or s in t or len(s) > 64:
+            out[i] = 100.0 if s and s in t else partial_ratio(s, t)
+            continue
+        lanes.append((s, t))
+        of.append(i)
+        if len(s) == len(t):  # either may be the shorter
+            lanes.append((t, s))
+            of.append(i)
+    for at in range(0, len(lanes), 4096):
+        for i, best in zip(of[at : at + 4096], _windows(lanes[at : at + 4096]).tolist()):
+            out[i] = max(out[i], best)
+    return out
+
+
 def _scorer(f):
     def score(a: pa.Array, b: pa.Array) -> pa.Array:
-        seen: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a.to_pylist(), b.to_pylist()):
-            if pair not in seen:
-                seen[pair] = f(pair[0] or "", pair[1] or "")
-            out.append(seen[pair])
-        return pa.array(out, pa.float32())
+        given = [(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist())]
+        distinct = list(dict.fromkeys(given))
+        found = dict(zip(distinct, partial_ratios(distinct) if f is partial_ratio else [f(x, y) for x, y in distinct]))
+        return pa.array([found[p] for p in given], pa.float32())
 
     return score
 

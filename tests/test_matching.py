@@ -48,6 +48,19 @@ def test_indel_scorers_against_brute_force(a, b):
         assert 0 <= f(a, b) <= 100
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(short, st.text("abc 1", max_size=90)), max_size=12))
+def test_many_partial_ratios_at_once(pairs):
+    assert indel.partial_ratios(pairs) == pytest.approx([slow_partial(a, b) for a, b in pairs])
+
+
+def test_long_partial_ratios():
+    for n in (63, 64, 65, 130):
+        pairs = [("ab" * n, "ba" * n + "x"), ("a" * n, "b" * n), ("abc" * (n // 3 + 1), "cab" * (n // 3 + 1))]
+        pairs = [(a[:n], b[: n + k]) for a, b in pairs for k in (0, 1, 5)]
+        assert indel.partial_ratios(pairs) == pytest.approx([slow_partial(a, b) for a, b in pairs])
+
+
 def test_indel_edges():
     assert indel.ratio("", "") == 100 and indel.token_set_ratio("", "") == 0 and indel.partial_ratio("", "a") == 0
     assert indel.token_set_ratio("a b", "b a c") == 100 and indel.token_sort_ratio("b a", "a b") == 100
