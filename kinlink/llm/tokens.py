@@ -1,8 +1,9 @@
 """Token ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
 A text is cut where its tokenizer always cuts, each piece is encoded by the library once and kept, and the
-pieces' ids are joined. Pieces are cut only at one space or line end between two plain Latin characters, where
-word-level and byte-level BPE pre-tokenizers always begin a new word; all other text stays in larger pieces.
+pieces' ids are joined; a piece of letters alone is put straight to the library's model. Pieces are cut only at one
+space or line end between two plain Latin characters, where word-level and byte-level BPE pre-tokenizers always begin
+a new word; all other text stays in larger pieces.
 """
 
 from __future__ import annotations
@@ -11,14 +12,22 @@ import json
 import os
 import re
 import struct
-from collections import ChainMap
-
-import numpy as np
 
 PLAIN = "!-~¡-ɏ"
+PLAIN_WORD = re.compile(f"[{PLAIN}]+")
+PLAIN_BYTES = bytes([10, *range(32, 127), *range(161, 256)])
 KEEP = 1 << 19
-SEPARATOR = "\0"
-AT_ONCE = 128
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters for bytes: printable Latin-1 characters stand for themselves, the others for 256 and on in their order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = _byte_letters()
+SPACE = BYTES[32]
 
 
 def vocabulary(name_or_path: str) -> str:
@@ -30,10 +39,38 @@ def vocabulary(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-class TextEncoder:
-    """encode(texts) gives each text's ids' bytes, with end_id appended. It keeps the ids of the pieces used last, KEEP to 2 * KEEP of them.
+class Known(dict):
+    """The ids of pieces as bytes, had from the library when first asked for."""
 
-    New pieces are encoded many in one call, with a separator between them whose id no other text has."""
+    def __init__(self, tokenizer, spaces_stay: bool):
+        super().__init__()
+        self.tokenizer, self.model, self.spaces_stay = tokenizer, tokenizer.model, spaces_stay
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            plain = piece if self.spaces_stay else piece.lower()
+            word = plain[1:] if plain[:1] == " " and self.spaces_stay else plain
+            if word.isalpha() and PLAIN_WORD.fullmatch(word):  # one pre-token, so the library's model can have it alone
+                letters = plain.replace(" ", SPACE) if plain.isascii() else plain.encode().decode("latin-1").translate(BYTES)
+                found = [t.id for t in self.model.tokenize(letters)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            elif piece[-1:] in (".", ",") and piece[-2:-1].isalnum():
+                ids = self[piece[:-1]] + self[piece[-1]]  # a word and its stop are encoded apart in any case
+            else:
+                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= 64:
+            if len(self) >= KEEP:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class TextEncoder:
+    """encode(texts) gives each text's ids' bytes, with end_id appended. It keeps the ids of the pieces used last, KEEP to 2 * KEEP of them."""
 
     def __init__(self, name_or_path: str, end_id: int | None = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -45,70 +82,30 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             rules = json.dumps({k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer")})
         self.spaces_stay = '"ByteLevel"' in rules and "\\\\s+" not in json.dumps(json.loads(rules).get("normalizer"))
-        self.odd = re.compile(f"[^{PLAIN} \n]|[ \n][ \n]|^[ \n]|[ \n]$") if self.spaces_stay else re.compile(f"[^{PLAIN} \n]")
         cut = f"(?<=[{PLAIN}])(?= [{PLAIN}])" if self.spaces_stay else f"(?<=[{PLAIN}])[ \n](?=[{PLAIN}])"
         self.cut = re.compile(cut)
-        self.unlike = re.compile(f"[^{PLAIN} \n]|^[ \n][ \n]|(?<=.)[ \n]" if self.spaces_stay else f"[^{PLAIN}]")
-        self.joint = SEPARATOR if self.spaces_stay else f" {SEPARATOR} "
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        found = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
-        self.separator = found[0] if len(found) == 1 else None
+        self.known = Known(self.tokenizer, self.spaces_stay)
+
+    def _is_plain(self, text: str) -> bool:
+        """Whether a text has plain characters of Latin-1, spaces and line ends only, these single and inside where they stay."""
+        try:
+            if text.encode("latin-1").translate(None, PLAIN_BYTES):
+                return False
+        except UnicodeEncodeError:
+            return False
+        blanks = ("  ", " \n", "\n ", "\n\n")
+        return not self.spaces_stay or not (text[0] in " \n" or text[-1] in " \n" or any(b in text for b in blanks))
 
     def pieces(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            self.any_odd = True
+        if not self._is_plain(text):
             return self.cut.split(text)
         if self.spaces_stay:
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return text.split()
 
-    def _ids(self, text: str) -> bytes:
-        found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def _encode_new(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), AT_ONCE):
-            part = pieces[at : at + AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.separator)
-            raw, ends = ids.tobytes(), (cuts * 4).tolist()
-            if len(cuts) != len(part) - 1:
-                raise ValueError("a piece has the separator's id")
-            for piece, a, b in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(raw)]):
-                self.known[piece] = raw[a:b]
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Makes all pieces known; those too long or odd to be kept are returned."""
-        apart, fresh, tailed = {}, [], []
-        for piece in pieces:
-            ids = self.old.get(piece)
-            if ids is not None:
-                self.known[piece] = ids
-            elif len(piece) > 64 or self.separator is None or piece[0] == "'" or self.any_odd and self.unlike.search(piece):  # a contraction's apostrophe must not follow the separator
-                apart[piece] = self._ids(piece)
-            elif piece[-1] in ".," and piece[-2:-1].isalnum():
-                tailed.append(piece)  # a word and its stop are encoded apart in any case
-            else:
-                fresh.append(piece)
-        stems = {p[:-1] for p in tailed} | {p[-1] for p in tailed}
-        self._encode_new(fresh + [s for s in stems.difference(fresh) if s not in self.known])
-        for piece in tailed:
-            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1]]
-        return apart
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) >= KEEP:
-            self.old, self.known = self.known, {}
-        self.any_odd = False
-        lists = [self.pieces(t) if t else [] for t in texts]
-        new = set().union(*lists).difference(self.known)
-        apart = self._learn(new) if new else {}
-        if apart:
-            own = ChainMap(self.known, apart)
-            return [b"".join([own[p] for p in pieces]) + self.end for pieces in lists]
-        return [b"".join(map(self.known.__getitem__, pieces)) + self.end for pieces in lists]
+        return [b"".join(map(self.known.__getitem__, self.pieces(t))) + self.end if t else self.end for t in texts]
 
 
 _encoders: dict[tuple, TextEncoder] = {}
