@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import table
+from kinlink.llm.common import materialise, table
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ def judge_urls(
     counts = own.join(marked, "key", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = counts.select("host", registered_domain(F.col("host")).alias("domain"), "n", "bad")
     hosts = hosts.withColumn("suffix", F.when(F.col("domain").contains("."), F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(F.col("domain")))
-    rated = reputation(hosts, bound=bound)
+    rated = reputation(materialise(hosts, "hosts"), bound=bound)  # each level reads the counts again
     rule = rule_of(F.col("host"), F.col("path"), rules, lambda r: r.name)
     ruled = rule_of(F.col("host"), F.col("path"), rules, lambda r: r.verdict)
     learned = F.when(F.col("low") > limit, F.lit("block")).otherwise(F.lit("allow"))
