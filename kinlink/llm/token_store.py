@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -45,7 +46,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, group_tokens: int, file_t
         def flush() -> None:
             nonlocal group, held
             if group:
-                ids = pa.array(memoryview(b"".join(x[2] for x in group)).cast("I"), pa.uint32()) if held else pa.array([], pa.uint32())
+                ids = pa.array(np.frombuffer(b"".join(x[2] for x in group), "<u4"), pa.uint32())
                 ends, total = [0], 0
                 for x in group:
                     total += len(x[2]) // 4
