@@ -15,6 +15,7 @@ import struct
 
 PLAIN = "!-~¡-ɏ"
 PLAIN_WORD = re.compile(f"[{PLAIN}]+")
+TAILED = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-^`{-~]+)")
 PLAIN_BYTES = bytes([10, *range(32, 127), *range(161, 256)])
 KEEP = 1 << 19
 
@@ -56,8 +57,8 @@ class Known(dict):
                 letters = plain.replace(" ", SPACE) if plain.isascii() else plain.encode().decode("latin-1").translate(BYTES)
                 found = [t.id for t in self.model.tokenize(letters)]
                 ids = struct.pack(f"<{len(found)}I", *found)
-            elif piece[-1:] in (".", ",") and piece[-2:-1].isalnum():
-                ids = self[piece[:-1]] + self[piece[-1]]  # a word and its stop are encoded apart in any case
+            elif m := TAILED.fullmatch(piece):
+                ids = self[m[1]] + self[m[2]]  # a word and the marks behind it are encoded apart in any case
             else:
                 found = self.tokenizer.encode(piece, add_special_tokens=False).ids
                 ids = struct.pack(f"<{len(found)}I", *found)
