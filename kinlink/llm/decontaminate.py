@@ -5,8 +5,9 @@ weighted Jaccard similarity of their multisets of word shingles, each weighed by
 
 1. Anchors. A similar window shares a shingle with its item, so shingles of the items mark the places of a text that
    can matter: a Bloom filter of fixed size, a literal in the plan, sifts them in the scan, a join makes them exact.
-   An anchor's place less its place in the item gives the window's start; starts up to a ninth of the item's shingles
-   away are tried too, as far as a similar window can lie from its nearest anchor.
+   Two windows of m shingles are `similarity` alike only if they share 2 m similarity / (1 + similarity) of them (8/9
+   of m at 0.8), so a window is tried if it holds that many anchors of the item, in whatever order. Its starts come
+   from a sliding count over the sorted places of the item's anchors in the text.
 2. SimHash. Each such window gets a 64-bit fingerprint of its shingles.
 3. Multi-index Hamming blocks. Fingerprints are cut in 8 blocks of 8 bits. If two differ in at most `RADIUS` (23)
    bits, some block differs in at most 2; items stand in the index under every block value within 2 bits, so an
@@ -126,7 +127,7 @@ def _block(fp: Column, b: int) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity (of the most similar window), first_word (its start, the first if there are more), n_words, differing_bits of every leak."""
     own_items = materialise(item_shingles(items, item_key, item_text, size), "items")
-    placed = own_items.select("item_id", "n_words", F.posexplode("hashes").alias("at", "h"))
+    placed = own_items.select(F.xxhash64("hashes").alias("item"), "n_words", F.explode("hashes").alias("h")).distinct()
     n_placed = placed.count()
     sieve = F.lit(np.array(bloom(placed.select("h")), np.int64))
 
@@ -136,11 +137,22 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     sifted = split.where(F.size("w") >= size).withColumn("s", shingles("w", size)).select("row", "doc_id", "w", hit.alias("hits")).where(F.size("hits") > 0)
     found = materialise(sifted, "anchored")  # written, so rows keep their numbers
 
-    anchors = found.select("row", F.explode("hits").alias("x")).select("row", "x.place", "x.h")
-    slack = F.floor((F.col("n_words") - (size - 1)) / 9).cast("int")
-    starts = anchors.join(_sized(placed, n_placed), "h").select("row", "n_words", F.explode(F.sequence(F.col("place") - F.col("at") - slack, F.col("place") - F.col("at") + slack)).alias("start"))
-    starts = starts.where("start >= 0").distinct().groupBy("row").agg(F.collect_set(F.struct("start", "n_words")).alias("starts"))
-    windows = found.join(starts, "row").select("doc_id", "w", F.explode("starts").alias("x")).where(F.col("x.start") + F.col("x.n_words") <= F.size("w"))
+    # items of equal shingles are one; a place counts once for an item, however often the item has the shingle
+    anchors = found.select("row", F.size("w").alias("n_doc"), F.explode("hits").alias("x")).select("row", "n_doc", "x.place", "x.h")
+    held = anchors.join(_sized(placed, n_placed), "h").groupBy("row", "n_doc", "item", "n_words").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    shared = 2 * (F.col("n_words") - (size - 1)) * (similarity / (1 + similarity))
+    held = held.withColumn("need", F.greatest(F.ceil(shared - 1e-6).cast("int"), F.lit(1))).where(F.size("places") >= F.col("need"))
+
+    def span(first: Column, j: Column) -> Column:
+        """The starts of the windows that hold the anchors from the j-th on, as many as needed."""
+        last = F.get(F.col("places"), j + F.col("need") - 1)
+        return F.struct(F.greatest(last - (F.col("n_words") - size), F.lit(0)).alias("lo"), F.least(first, F.col("n_doc") - F.col("n_words")).alias("hi"))
+
+    runs = F.transform(F.slice("places", F.lit(1), F.size("places") - F.col("need") + 1), span)
+    spans = F.filter(runs, lambda x: x["lo"] <= x["hi"])
+    starts = held.select("row", "n_words", F.explode(spans).alias("x"))
+    starts = starts.select("row", "n_words", F.explode(F.sequence("x.lo", "x.hi")).alias("start")).distinct().groupBy("row").agg(F.collect_set(F.struct("start", "n_words")).alias("starts"))
+    windows = found.join(starts, "row").select("doc_id", "w", F.explode("starts").alias("x"))
     windows = windows.select("doc_id", "x.start", "x.n_words", F.slice("w", F.col("x.start") + 1, F.col("x.n_words")).alias("own"))
     windows = windows.select("doc_id", "start", "n_words", shingles("own", size).alias("window"))
     printed = materialise(windows.withColumn("fp", simhash(F.col("window"))), "windows")  # else the join's null test on fp would fingerprint them again
