@@ -18,7 +18,8 @@ At similarity 0.8 fingerprints differ in about 10 bits, so radius 23 is over fou
 broadcast only where they are counted to be small, and shuffled otherwise. Texts are read once; only documents with an
 anchor are written on, and nothing is gathered but a document's own anchors.
 
-Defined results: null and empty texts leak nothing. Items with fewer words than a shingle are never found. Items with
+Defined results: a document of fewer words than the item is one window as a whole; n_words counts the window's words.
+Null and empty texts leak nothing. Items with fewer words than a shingle are never found. Items with
 equal texts are found together. Rows of equal id count together; a null doc_id is an id. Repeated rows give one
 result. With no items nothing leaks. An empty table gives no rows. Other columns are ignored by the search and
 carried along by the filter.
@@ -140,17 +141,18 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     # items of equal shingles are one; a place counts once for an item, however often the item has the shingle
     anchors = found.select("row", F.size("w").alias("n_doc"), F.explode("hits").alias("x")).select("row", "n_doc", "x.place", "x.h")
     held = anchors.join(_sized(placed, n_placed), "h").groupBy("row", "n_doc", "item", "n_words").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    shared = 2 * (F.col("n_words") - (size - 1)) * (similarity / (1 + similarity))
+    shared = (F.least("n_words", "n_doc") + F.col("n_words") - 2 * (size - 1)) * (similarity / (1 + similarity))
     held = held.withColumn("need", F.greatest(F.ceil(shared - 1e-6).cast("int"), F.lit(1))).where(F.size("places") >= F.col("need"))
 
     def span(first: Column, j: Column) -> Column:
         """The starts of the windows that hold the anchors from the j-th on, as many as needed."""
         last = F.get(F.col("places"), j + F.col("need") - 1)
-        return F.struct(F.greatest(last - (F.col("n_words") - size), F.lit(0)).alias("lo"), F.least(first, F.col("n_doc") - F.col("n_words")).alias("hi"))
+        return F.struct(F.greatest(last - (F.col("n_words") - size), F.lit(0)).alias("lo"), F.least(first, F.greatest(F.col("n_doc") - F.col("n_words"), F.lit(0))).alias("hi"))
 
     runs = F.transform(F.slice("places", F.lit(1), F.size("places") - F.col("need") + 1), span)
     spans = F.filter(runs, lambda x: x["lo"] <= x["hi"])
-    starts = held.select("row", "n_words", F.explode(spans).alias("x"))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    starts = held.select("row", "n_words", F.explode(F.when(F.col("n_doc") < F.col("n_words"), whole).otherwise(spans)).alias("x"))
     starts = starts.select("row", "n_words", F.explode(F.sequence("x.lo", "x.hi")).alias("start")).distinct().groupBy("row").agg(F.collect_set(F.struct("start", "n_words")).alias("starts"))
     windows = found.join(starts, "row").select("doc_id", "w", F.explode("starts").alias("x"))
     windows = windows.select("doc_id", "x.start", "x.n_words", F.slice("w", F.col("x.start") + 1, F.col("x.n_words")).alias("own"))
@@ -165,7 +167,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     pairs = probes.join(_sized(index, index.count()), ["n_words", "block", "value"]).where(bits <= RADIUS)
     first = _first_block(F.col("fp").bitwiseXOR(F.col("item_fp"))) == F.col("block")  # a pair that meets in several blocks counts in one
     full = pairs.where(first).join(_sized(own_items.select("item_id", "hashes"), own_items.count()), "item_id")
-    verified = full.select("doc_id", "item_id", "n_words", "start", bits.alias("differing_bits"), alike(F.col("window"), F.col("hashes")).alias("similarity")).where(F.col("similarity") >= similarity)
+    verified = full.select("doc_id", "item_id", (F.size("window") + size - 1).alias("n_words"), "start", bits.alias("differing_bits"), alike(F.col("window"), F.col("hashes")).alias("similarity")).where(F.col("similarity") >= similarity)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "differing_bits", "n_words"))
     return verified.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.start").alias("first_word"), F.col("b.n_words"), F.col("b.differing_bits")
