@@ -13,6 +13,12 @@ returns a spanning forest of its links, not the links: fingerprints that it has
 those around one pivot, are not compared again, so a large group of near copies gives one edge a member.
 Components are found by large-star and small-star rounds over the edges, with minima by aggregation, never by lists.
 
+With a `similarity`, as the corpus pipeline asks for, texts are linked by the exact Jaccard similarity of their sets of
+shingles instead, whatever their fingerprints: a radius that covers 0.8 (about 23 bits of 64) would let an index pass
+nearly every pair. Two sets so alike share one of their first n - ceil(similarity * n) + 1 shingles in any common order,
+so candidates meet on those, rarest first by a sample; the order changes the time, never the result. Equal sets are
+one node. Candidates around one pivot a block are verified first; then only pairs across the components so far.
+
 Defined results: a null or empty text has fingerprint zero, linked like any other. A text shorter than a shingle is
 one shingle. Repeated rows stay rows, with one component. A null doc_id is no component's name unless the whole
 component has none. An empty table gives no rows. Other columns are ignored.
@@ -237,11 +243,154 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, part_rows: int = 1 << 16) -> DataFrame:
-    """doc_id, text_hash, fp, root (the smallest fingerprint that links reach) and component_id (the smallest doc_id there) of every document."""
-    fps = materialise(fingerprints(docs, key=key, text=text, size=size), "fingerprints")
+def shingle_set(text: str | None, size: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, as in simhash, in order."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
+    return np.unique(np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8"))
+
+
+def _prefixer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
+    """known: hashes in order that a sample holds often, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            node, n, prefix = [], [], []
+            for t in b.column(1):
+                own = shingle_set(t.as_py(), size)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, often[at], 0)
+                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                node.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
+                n.append(len(own))
+                prefix.append(own[np.argsort(rank, kind="stable")][:first].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "n", "prefix"]
+            )
+
+    return run
+
+
+def _setter(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(t.as_py(), size).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["text_hash", "shingles"])
+
+    return run
+
+
+def _pairer(similarity: float, star: bool):
+    """Candidate pairs of each block (rows come sorted by block): around pivots if star, else all across components."""
+
+    def pairs(fp: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.lexsort((fp, n))
+        fp, n, c = fp[order], n[order], c[order]
+        if not star and (c == c[0]).all():
+            return
+        most, i = np.searchsorted(n, n / similarity + 1e-9, side="right"), 0
+        while i < len(fp) - 1:
+            other = fp[i + 1 : most[i]]
+            if not star:
+                other = other[c[i + 1 : most[i]] != c[i]]
+            if len(other):
+                yield np.minimum(other, fp[i]), np.maximum(other, fp[i])
+            i = max(int(most[i]), i + 1) if star else i + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, out, waiting = [], None, [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]) if out else [], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal out, waiting
+            if sum(len(x[0]) for x in held) < 2:
+                return
+            for pair in pairs(*(np.concatenate(x) for x in zip(*held))):
+                out.append(pair)
+                waiting += len(pair[0])
+                if waiting > 1 << 16:
+                    yield batch_of()
+                    out, waiting = [], 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, p, q, fp, n, c = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            new = np.flatnonzero((np.diff(h) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(fp)]):
+                this = (int(h[lo]), int(p[lo]), int(q[lo]))
+                if this != block:
+                    yield from done()
+                    held, block = [], this
+                held.append((fp[lo:hi].copy(), n[lo:hi].copy(), c[lo:hi].copy()))
+        yield from done()
+        yield batch_of()
+
+    return run
+
+
+def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity: float, sample: int = 20_000) -> DataFrame:
+    """doc_id, text_hash, fp (a hash of the shingle set), n (its size) and prefix of every document."""
+    ship(docs.sparkSession)
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    part = own.where(F.pmod("text_hash", F.lit(max(1, own.count() // sample))) == 0).select("text_hash", "text")
+    seen = part.mapInArrow(_setter(size), "text_hash long, shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").count()
+    top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).collect()  # bounded
+    known = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    often = np.array([r[1] for r in top], np.int64)
+    return own.mapInArrow(_prefixer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, prefix array<long>")
+
+
+def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, similarity: float, part_rows: int = 1 << 16) -> DataFrame:
+    """Edges (a, b) between the sets of similar_sets that connect all that are at least so alike; every edge is such a pair."""
+    nodes = materialise(fps.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+    rows = nodes.select("fp", "n", F.explode("prefix").alias("h"))
+    shared = rows.groupBy("h").count().where("count > 1")
+    parts = F.when(F.col("count") > part_rows, F.ceil(F.col("count") * 2 / part_rows)).otherwise(1).cast("int")
+    rows = materialise(rows.join(shared, "h").select("h", "fp", "n", parts.alias("parts")), "shared")
+    texts = docs.select(F.col(text).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+
+    def verified(rows: DataFrame, star: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
+        every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
+        blocks = rows.select("h", F.explode(every).alias("x"), "fp", "n", "c").select("h", "x.p", "x.q", "fp", "n", "c")
+        by = ["h", "p", "q"]
+        pairs = blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_pairer(similarity, star), "a long, b long")
+        pairs = materialise(pairs.distinct(), "pairs")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "text_hash"), "fp")
+        held = texts.join(needed.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+        sets = materialise(needed.join(held.mapInArrow(_setter(size), "text_hash long, shingles array<long>"), "text_hash").select("fp", "shingles"), "shingles")
+        full = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
+        both = F.size(F.array_intersect("s", "t"))
+        return materialise(full.where(both / (F.size("s") + F.size("t") - both) >= similarity).select("a", "b"), "alike")
+
+    first = verified(rows.withColumn("c", F.col("fp")), True)
+    so_far = components(first).withColumnRenamed("node", "fp")
+    second = verified(rows.join(so_far, "fp", "left").withColumn("c", F.coalesce("root", "fp")), False)
+    return first.unionByName(second)
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, similarity: float | None = None, part_rows: int = 1 << 16) -> DataFrame:
+    """doc_id, text_hash, fp, root (the smallest fingerprint that links reach) and component_id (the smallest doc_id there) of every document.
+
+    With a similarity, fp is a hash of the shingle set, and links are the pairs at least so alike."""
+    made = fingerprints(docs, key=key, text=text, size=size) if similarity is None else similar_sets(docs, key=key, text=text, size=size, similarity=similarity)
+    fps = materialise(made, "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(near_links(nodes.select("fp"), part_rows=part_rows))
+    if similarity is None:
+        edges = near_links(nodes.select("fp"), part_rows=part_rows)
+    else:
+        edges = similar_links(fps, docs, text=text, size=size, similarity=similarity, part_rows=part_rows)
+    roots = components(edges)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "root", "component_id")

@@ -135,6 +135,31 @@ def test_near_duplicates(spark):
     assert stay.columns == own.columns and simhash.keep_one(own.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [1 << 16, 4])
+def test_similar_texts_against_brute_force(spark, part_rows):
+    r = random.Random(21)
+    rows = [(i, prose(r, 60)) for i in range(20)]
+    for k in range(20):
+        words = rows[k][1].split()
+        for j in range(3):
+            edited = list(words)
+            for at in r.sample(range(60), 1 + j % 2):
+                edited[at] = f"edit{k}x{j}"
+            rows.append((100 + 10 * k + j, " ".join(edited)))
+        rows.append((100 + 10 * k + 5, " ".join(words[30:] + words[:30])))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.lower().split()) for k, t in rows)}
+    up = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+        if all(up[up[k]] == up[k] for k in up):
+            break
+    found = simhash.near_duplicates(docs(spark, rows), size=5, similarity=0.8, part_rows=part_rows).collect()
+    assert {x.doc_id: x.component_id for x in found} == up and 20 < len(set(up.values())) < 80
+
+
 # decontamination
 
 
