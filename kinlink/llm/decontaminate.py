@@ -182,11 +182,13 @@ def _first_block(diff: Column) -> Column:
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:
-    """The documents, with all their columns, that leak no item."""
-    (mark,) = no_clash(docs, "mark")
-    found = leaks(docs, items, key=key, **how).select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(found, F.col(key).cast("long").eqNullSafe(F.col(mark)), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents, with all their columns, that leak no item; rows are told apart by id and text hash."""
+    (mark, leaking) = no_clash(docs, "mark", "leaking")
+    name = F.xxhash64(F.coalesce(F.col(key).cast("long").cast("string"), F.lit("-")), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    marked = docs.withColumn(mark, name)
+    found = leaks(marked, items, key=mark, text=text, **how).select(F.col("doc_id").alias(leaking)).distinct()
+    return marked.join(found, F.col(mark) == F.col(leaking), "left_anti").select(*docs.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

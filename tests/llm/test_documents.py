@@ -223,6 +223,14 @@ def test_leaks_of_swapped_halves_and_of_short_documents(spark):
     assert {(x.doc_id, x.item_id): (x.similarity, x.first_word, x.n_words) for x in found} == {k: pytest.approx(v) for k, v in expected.items()}
 
 
+def test_clean_rows_of_a_leaking_id_stay(spark):
+    r = random.Random(31)
+    item = prose(r, 30)
+    rows = [(None, item), (None, prose(r, 40)), (5, prose(r, 20) + " " + item), (5, prose(r, 40)), (6, None)]
+    clean = decontaminate.without_leaks(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(x.doc_id, x.text) for x in clean.collect()} == {rows[1], rows[3], rows[4]}
+
+
 def test_index_holds_every_fingerprint_in_the_radius(spark):
     r = random.Random(12)
     pairs = []
