@@ -22,6 +22,8 @@ def scratch_root(spark: SparkSession) -> str:
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("a cluster names its shared folder in spark.checkpoint.dir")
     own = f"file://{tempfile.gettempdir()}/kinlink-{os.getpid()}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -87,6 +89,10 @@ def no_clash(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def text_of(name: str) -> Column:
-    """A text column, null as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+def named(column: str) -> str:
+    """A column's name as Spark reads it whole, dots, blanks and back quotes included."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(named(c)) for c in df.columns]

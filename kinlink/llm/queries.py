@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinlink.llm.decontaminate import op7_decontaminate
+from kinlink.llm.decontaminate import OP7_SQL, op7_decontaminate
 from kinlink.llm.license import op8_license
 from kinlink.llm.packing import op2_packing
 from kinlink.llm.pii import op4_pii
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_urls": op10_urls,
 }
-SQL = {"op1_warc": OP1_SQL}
+SQL = {"op1_warc": OP1_SQL, "op7_decontaminate": OP7_SQL}

@@ -231,18 +231,58 @@ def test_clean_rows_of_a_leaking_id_stay(spark):
     assert {(x.doc_id, x.text) for x in clean.collect()} == {rows[1], rows[3], rows[4]}
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def test_index_holds_every_fingerprint_in_the_radius(spark):
     r = random.Random(12)
+    used = decontaminate.BLOCKS * decontaminate.BLOCK_BITS
     pairs = []
     for _ in range(200):
-        fp = r.getrandbits(64)
-        other = fp
-        for b in r.sample(range(64), r.randrange(decontaminate.RADIUS + 1)):
-            other ^= 1 << b
-        pairs.append([x - (1 << 64) if x >> 63 else x for x in (fp, other)])
-    frame = spark.createDataFrame(pairs, "a long, b long")
-    blocks = F.array(*(F.struct(F.lit(k).alias("block"), decontaminate._block(F.col("b"), k).alias("value")) for k in range(decontaminate.BLOCKS)))
-    assert frame.where(F.arrays_overlap(decontaminate.variants(F.col("a")), blocks)).count() == 200
+        fp = [r.getrandbits(used) for _ in range(decontaminate.LONGS)]
+        other = list(fp)
+        for b in r.sample(range(used * decontaminate.LONGS), r.randrange(decontaminate.RADIUS + 1)):
+            other[b // used] ^= 1 << b % used
+        pairs.append((fp, other, sum((x ^ y).bit_count() for x, y in zip(fp, other))))
+    frame = spark.createDataFrame(pairs, "p array<long>, q array<long>, n int")
+    assert frame.where(F.arrays_overlap(decontaminate.variants("p"), decontaminate.blocks("q"))).count() == 200
+    assert frame.where((decontaminate.differing("p", "q") == F.col("n")) & (decontaminate._first_block("p", "q") >= 0)).count() == 200
+
+
+def test_fingerprints_against_counting(spark):
+    r = random.Random(13)
+    frame = spark.createDataFrame([([signed(r.getrandbits(64)) for _ in range(n)],) for n in (1, 2, 9, 700, 70_000)], "f array<long>")
+    hashes = F.expr(f"transform(sequence(0, {decontaminate.LONGS - 1}), k -> transform(f, x -> xxhash64(x, k)))")
+    rows = frame.select(decontaminate.fingerprint("f").alias("fp"), hashes.alias("h")).collect()
+    for x in rows:
+        for fp, h in zip(x.fp, x.h):
+            u = np.array(h, np.int64).view(np.uint64)
+            ones = [int(((u >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(decontaminate.BLOCKS * decontaminate.BLOCK_BITS)]
+            assert fp == sum(1 << b for b, n in enumerate(ones) if 2 * n > len(h))
+
+
+def test_leaks_equal_counting_every_window_in_sql(spark):
+    import duckdb
+
+    r = random.Random(41)
+    few = ["aa", "bb", "cc", "dd"]  # so shingles repeat, within items and texts
+    items = [(i, " ".join(r.choice(few[: 1 + i % 4]) for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 9, 14, 30, 31, 60, 60))]
+    items += [(20, prose(r, 1000)), (21, prose(r, 40)), (22, "Odd Words"), (23, ""), (24, None), (25, items[9][1]), (26, " ".join(["zz"] * 12 + prose(r, 20).split()))]
+    rows = [(i, " ".join(r.choice(few[: 1 + i % 4]) for _ in range(r.choice([0, 1, 3, 8, 40, 120])))) for i in range(40)]
+    for k, (i, t) in enumerate(x for x in items if x[1]):
+        w = t.split()
+        half = w[len(w) // 2 :] + w[: len(w) // 2]
+        rows += [(100 + k, f"{prose(r, 20)} {t} {prose(r, 10)}"), (200 + k, " ".join(half)), (300 + k, " ".join(w[: -(len(w) // 8) or None])), (400 + k, f"{t} {' '.join(half)} {t.upper()}"), (500 + k, f"{prose(r, 4)} {' '.join([*w[:3], 'x', *w[4:]])}")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows + [x for x in ODD[:-1] if x[0]])
+    db.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    wanted = {x[:2]: (round(x[2], 9), *x[3:]) for x in db.execute(decontaminate.OP7_SQL).fetchall()}
+    got = decontaminate.leaks(docs(spark, rows + ODD), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): (round(x.similarity, 9), x.first_word, x.n_words) for x in got.where("doc_id is not null").collect()} == wanted
+    assert len(wanted) > 100 and {20, 0, 3, 22} <= {i for _, i in wanted}
 
 
 # personal data
