@@ -96,3 +96,16 @@ def named(column: str) -> str:
 
 def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(named(c)) for c in df.columns]
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, *, by: str, n: str) -> DataFrame:
+    """many joined with one on key; one has a row a key and tells in n how many rows of many hold it.
+
+    A key that holds more than a share of all rows, half of what a task has on average, is dealt to several tasks by the
+    column by, and its row of one goes to each. There are fewer such keys than shares, so their list is broadcast."""
+    shares = 2 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(one.where(F.col(n) * shares > total).select(key, F.ceil(F.col(n) * shares / max(total, 1)).cast("int").alias("_parts")))
+    dealt = many.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    every = one.drop(n).join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(every, [key, "_part"]).drop("_part")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import ship, table
+from kinlink.llm.common import named, ship, table
 from kinlink.llm.tokens import encoder
 
 AT_ONCE = 256
@@ -170,7 +170,7 @@ def pack_documents(
 ) -> DataFrame:
     """The pieces (PIECES) of all documents; ids are little-endian unsigned 32-bit."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
     return own.mapInArrow(_pack(vocabulary, end_id, tuple(tiers), pool_tokens, step_tokens), PIECES)
 
 

@@ -13,8 +13,10 @@ instance's is the noisy-or over its confident patterns; seeds stay certain, and
 without being an identifier counts against a pattern. Patterns of high confidence and support then mark the
 identifiers behind them (kind `found`) whatever they look like: with a digit, of six characters or more.
 
-Texts are read once; spans and instances are written, and all rounds work on aggregated edges. No pattern's or
-instance's rows are gathered in one place: what a third of all texts share is one row of counts after partial sums.
+Spans and instances are written, and all rounds work on aggregated edges. No pattern's or instance's rows are gathered
+in one place: what a third of all texts share is one row of counts after partial sums. The trusted patterns, few beside
+the texts, go with the tasks as a constant where they are counted to be at most `MOST_BYTES`, else they are joined, with
+equal results. The query reads texts once; the masking reads them again, with no shuffle while the patterns are few.
 
 Defined results: a null or empty text has no spans. Repeated rows give repeated results. A null doc_id stays. Spans
 found by the method that touch a fixed span are left out. An empty table gives no rows. Other columns are ignored by
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, no_clash, table
+from kinlink.llm.common import columns_of, materialise, named, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds, in forms that find the same without trying a run twice.
@@ -41,6 +43,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](
 CUE = r"""[:=#"'(\[<][\x20"'(\[<]{0,3}+[A-Za-z0-9+][A-Za-z0-9_.@+/-]*+"""
 SEED = r"^(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{16,19}|\+[0-9].*|[0-9A-Fa-f]{32,})$"
 IDENTIFIER = r"^(?=.*[0-9]).{6,}$"
+MOST_BYTES, SPREAD = 4 << 20, 16
 MATCHES = "array<struct<start:int,end:int,match:string,before:string>>"
 
 
@@ -74,7 +77,7 @@ def located(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Adds a column of MATCHES for each pattern: (start, end, match, before) in code points; before: up to 40 characters since the match before.
 
     In steps that the optimizer keeps apart, since a later one names an earlier one's costly column more than once."""
-    t = F.col(text)
+    t = F.col(named(text))
     df = df.withColumns({f"{k}_m": F.when(t.contains(NEEDS[k]) if k == "email" else t.rlike(NEEDS.get(k, p[: p.index("]") + 1])), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for k, p in patterns.items()})
     df = df.withColumns({f"{k}_p": F.when(F.size(f"{k}_m") > 0, F.split(t, p, -1)) for k, p in patterns.items()})
 
@@ -112,12 +115,15 @@ def _kept(kind: str) -> Column:
     return F.transform(passing, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
 
+def entities_of(docs: DataFrame, key: str, text: str, *keep: Column) -> DataFrame:
+    """doc_id, t (the text), the four kinds' spans and the cues' instances of every document."""
+    own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.coalesce(F.col(named(text)).cast("string"), F.lit("")).alias("t"), *keep)
+    return located(own, "t", {**PATTERNS, "cue": CUE}).withColumns({**{k: _kept(k) for k in KINDS}, "cues": _instances(F.col("cue"))}).drop("cue")
+
+
 def search(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, text_hash, the four kinds' MATCHES and the cues' instances of every document, written to a table."""
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    found = located(own, "t", {**PATTERNS, "cue": CUE})
-    kept = {k: _kept(k) for k in KINDS}
-    found = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", *(c.alias(k) for k, c in kept.items()), _instances(F.col("cue")).alias("cues"))
+    """row, doc_id, the four kinds' spans and the cues' instances of every document, written to a table."""
+    found = entities_of(docs, key, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, "cues")
     return materialise(found, "entities")  # written, so rows keep their numbers
 
 
@@ -137,16 +143,37 @@ def trusted_patterns(found: DataFrame, *, rounds: int = 3, confidence: float = 0
     return patterns.where(F.col("conf") >= confidence)
 
 
-def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """row, doc_id, text_hash, the spans (start, end) of email, ip, card, phone and found of every document, each in order."""
+def _wanted(cue: Column) -> Column:
+    return cue["instance"].rlike(IDENTIFIER) | cue["instance"].rlike(SEED)
+
+
+def _constant(patterns: DataFrame, most_bytes: int) -> list[str] | None:
+    """The patterns, if they are small enough to go with the tasks."""
+    size = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + 16), F.lit(0))).first()[0]
+    return sorted(r[0] for r in patterns.select("pattern").collect()) if size <= most_bytes else None
+
+
+def _add_found(entities: DataFrame, patterns: DataFrame, row: str, most_bytes: int) -> DataFrame:
+    """Adds the spans behind trusted patterns (found) that touch no fixed span, in place of cues. row: a column that tells the entities apart, for the join."""
+    constant = _constant(patterns, most_bytes)
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    if constant is not None:
+        kept = F.filter("cues", lambda c: _wanted(c) & F.exists(c["patterns"], lambda p: p.isin(constant) if constant else F.lit(False)))
+        found = entities.withColumn("found", F.array_sort(F.array_distinct(F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))))
+    else:
+        behind = entities.select(row, F.explode("cues").alias("c")).where(_wanted(F.col("c")))
+        behind = behind.select(row, "c.start", "c.end", F.explode("c.patterns").alias("pattern")).withColumn("_part", F.pmod(F.xxhash64(row), F.lit(SPREAD)))
+        everywhere = patterns.select("pattern", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).alias("_part"))
+        marked = behind.join(everywhere, ["pattern", "_part"], "left_semi").groupBy(row).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
+        found = entities.join(marked, row, "left").withColumn("found", F.coalesce("found", spans))
+    free = F.filter("found", lambda f: ~F.exists(F.col("_base"), lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"])))
+    return found.drop("cues").withColumn("_base", F.concat(*KINDS)).withColumn("found", free).drop("_base")
+
+
+def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES, **how) -> DataFrame:
+    """row, doc_id, the spans (start, end) of email, ip, card, phone and found of every document, each in order."""
     entities = search(docs, key, text)
-    patterns = trusted_patterns(entities, **how).select("pattern")
-    behind = entities.select("row", F.explode("cues").alias("c")).where(F.col("c.instance").rlike(IDENTIFIER) | F.col("c.instance").rlike(SEED))
-    behind = behind.select("row", "c.start", "c.end", F.explode("c.patterns").alias("pattern")).join(patterns, "pattern", "left_semi")
-    marked = behind.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
-    base = F.concat(*KINDS)
-    free = F.filter(F.coalesce("found", F.array().cast("array<struct<start:int,end:int>>")), lambda f: ~F.exists(F.col("_base"), lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"])))
-    return entities.drop("cues").join(marked, "row", "left").withColumn("_base", base).withColumn("found", free).drop("_base")
+    return _add_found(entities, trusted_patterns(entities, **how), "row", most_bytes)
 
 
 def _named(kind: str) -> Column:
@@ -157,35 +184,39 @@ def _tagged(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("name")))
 
 
-def mask(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: str | None = None, **how) -> DataFrame:
+def mask(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: str | None = None, most_bytes: int = MOST_BYTES, **how) -> DataFrame:
     """The documents with their spans replaced by [EMAIL] and so on; touching spans become one, named as the first. length: a column that follows the text's length."""
-    found = personal_data(docs, key=key, text=text, **how)
-    spans = F.concat(*map(_tagged, (*KINDS, "found")))
-    (mark, cut) = no_clash(docs, "mark", "cut")
-
-    def name(id_: Column, hashed: Column) -> Column:
-        return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("-")), hashed)
-
-    cuts = found.select(name(F.col("doc_id"), F.col("text_hash")).alias(mark), F.array_sort(spans).alias(cut)).where(F.size(cut) > 0).groupBy(mark).agg(F.first(cut).alias(cut))
-    own = docs.withColumn(mark, name(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))))
-    t = F.col(text)
+    patterns = trusted_patterns(search(docs, key, text), **how)
+    # the row number, not being deterministic, keeps the search from being done for every use of its spans
+    entities = entities_of(docs, key, text, F.struct(*columns_of(docs)).alias("own"), F.monotonically_increasing_id().alias("row"))
+    found = _add_found(entities if _constant(patterns, most_bytes) is not None else materialise(entities, "texts"), patterns, "row", most_bytes)
+    t, cut = F.col("t"), F.array_sort(F.concat(*map(_tagged, (*KINDS, "found"))))
 
     def step(state: Column, s: Column) -> Column:
         new = F.concat(state["out"], F.substr(t, state["at"] + 1, s["start"] - state["at"]), s["name"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], new).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(F.col(cut), start, step, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1)))
-    joined = own.join(cuts, mark, "left").withColumn(text, F.when(F.col(cut).isNotNull(), masked).otherwise(t))
-    if length:
-        joined = joined.withColumn(length, F.when(F.col(cut).isNotNull(), F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return joined.select(*docs.columns)
+    masked = F.aggregate(F.col("cut"), start, step, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1)))
+    changed = F.size("cut") > 0
+    new = found.withColumn("cut", cut).withColumn("masked", F.when(changed, masked))
+
+    def column(c: str) -> Column:
+        own = F.col(f"own.{named(c)}")
+        if c.lower() == text.lower():
+            own = F.when(changed, F.col("masked")).otherwise(own)
+        elif length and c.lower() == length.lower():
+            own = F.when(changed, F.length("masked").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return new.select(*map(column, docs.columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     found = personal_data(table(spark, sf_dir, "documents"))
-    base = F.array_join(F.concat(*map(_named, KINDS)), ",")
+    base, every = F.concat(*map(_named, KINDS)), F.concat(*map(_named, (*KINDS, "found")))
     return found.select(
-        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), F.array_join(F.concat(*map(_named, (*KINDS, "found"))), ",").alias("spans"),
+        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(every, ",").alias("spans"), F.size(every).cast("long").alias("n_spans"), F.size("found").cast("long").alias("n_found"),
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import no_clash, ship, table
+from kinlink.llm.common import columns_of, named, no_clash, ship, table
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -81,7 +81,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and COUNTS of every document."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
     return own.mapInArrow(_counter, "key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
@@ -202,10 +202,10 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, *, longes
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 20_000, **how) -> list[Rule]:
-    """The decision list for the labelled documents that pass base_failed. No condition is about a figure that falls or rises with a clean text's length alone. Only their numbers reach the driver, at most sample rows."""
-    good = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.min(label).alias("good"))
+    """The decision list for the labelled documents that pass base_failed. Conditions are about shares and means, and about the number of words. Only their numbers reach the driver, at most sample rows."""
+    good = labels.where(F.col(named(label)).isNotNull() & F.col(named(key)).isNotNull()).groupBy(F.col(named(key)).cast("long").alias("key")).agg(F.min(F.col(named(label))).alias("good"))
     good = good.orderBy(F.xxhash64("key"), "key").limit(sample)  # the documented bound; so it is small enough to broadcast
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(good.select("key")), "key", "left_semi")
+    own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).alias("text")).join(F.broadcast(good.select("key")), "key", "left_semi")
     counted = count_statistics(own, "key", "text").where(~base_failed()).join(F.broadcast(good), "key")
     rows = counted.select("key", "good", *(c.alias(n) for n, c in features().items())).groupBy("key").agg(F.first("good").alias("good"), *(F.min(n).alias(n) for n in features())).orderBy("key").toPandas()
     if not len(rows):
@@ -240,8 +240,8 @@ def keep_good(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> Data
     ship(docs.sparkSession)
     (mark,) = no_clash(docs, "counts")
     count = F.arrow_udf(_count_column, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
-    marked = docs.withColumn(mark, count(F.col(text).cast("string")))
-    opened = marked.select(*(F.col(f"`{mark}`.{c}").alias(c) for c in COUNTS), F.struct(*docs.columns).alias("row"))
+    marked = docs.withColumn(mark, count(F.col(named(text)).cast("string")))
+    opened = marked.select(*(F.col(f"`{mark}`.{c}").alias(c) for c in COUNTS), F.struct(*columns_of(docs)).alias("row"))
     return opened.where(~base_failed() & (verdict(rules) == 0)).select("row.*")
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, no_clash, ship, table
+from kinlink.llm.common import columns_of, materialise, named, no_clash, ship, spread_join, table
 
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
@@ -67,7 +67,7 @@ def _fingerprinter(size: int):
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
     """doc_id, text_hash and fp (the fingerprint as a signed long) of every document."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text"))
     return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_fingerprinter(size), "doc_id long, text_hash long, fp long")
 
 
@@ -340,7 +340,7 @@ def _pairer(similarity: float, star: bool):
 def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity: float, sample: int = 20_000) -> DataFrame:
     """doc_id, text_hash, fp (a hash of the shingle set), n (its size) and prefix of every document."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     part = own.where(F.pmod("text_hash", F.lit(max(1, own.count() // sample))) == 0).select("text_hash", "text")
     seen = part.mapInArrow(_setter(size), "text_hash long, shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").count()
     top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).collect()  # bounded
@@ -357,7 +357,7 @@ def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, simi
     shared = rows.groupBy("h").count().where("count > 1")
     parts = F.when(F.col("count") > part_rows, F.ceil(F.col("count") * 2 / part_rows)).otherwise(1).cast("int")
     rows = materialise(rows.join(shared, "h").select("h", "fp", "n", parts.alias("parts")), "shared")
-    texts = docs.select(F.col(text).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+    texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
 
     def verified(rows: DataFrame, star: bool) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
@@ -385,30 +385,40 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     With a similarity, fp is a hash of the shingle set, and links are the pairs at least so alike."""
     made = fingerprints(docs, key=key, text=text, size=size) if similarity is None else similar_sets(docs, key=key, text=text, size=size, similarity=similarity)
     fps = materialise(made, "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     if similarity is None:
         edges = near_links(nodes.select("fp"), part_rows=part_rows)
     else:
         edges = similar_links(fps, docs, text=text, size=size, similarity=similarity, part_rows=part_rows)
     roots = components(edges)
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "root", "component_id")
-    return fps.join(of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    rooted = materialise(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+    of_root = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_nodes")), "roots")
+    of = materialise(spread_join(rooted.select("fp", "n", "root"), of_root, "root", by="fp", n="n_nodes"), "components")
+    return spread_join(fps.select("doc_id", "text_hash", "fp"), of, "fp", by="doc_id", n="n").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, with all their columns, of which no near copy has a smaller id (among equal ids: text hash); of repeated rows one stays."""
+    """The documents, with all their columns, of which no near copy has a smaller id (among equal ids: text hash).
+
+    Of rows with equal id and text one stays, that whose columns, written as JSON, come first. What goes is joined away;
+    what stays is not moved while the list of what goes is small."""
     found = near_duplicates(docs, key=key, text=text, **how)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("first"))
 
     def name(id_: Column, hashed: Column) -> Column:
         return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("-")), hashed)
 
     (mark,) = no_clash(docs, "mark")
-    stay = first.select(name(F.col("first.doc_id"), F.col("first.text_hash")).alias(mark))
-    marked = docs.select(name(F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))).alias(mark), F.struct(*docs.columns).alias("row"))
-    return marked.join(stay, mark, "left_semi").groupBy(mark).agg(F.first("row").alias("row")).select("row.*")
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rows = materialise(rows.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row"), "n"), "members")
+    first = materialise(rows.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("n_rows")).where("n_rows > 1"), "firsts")
+    grouped = spread_join(rows, first, "root", by="row", n="n_rows").where(~F.col("row").eqNullSafe(F.col("first")))
+    gone = grouped.select(name(F.col("row.doc_id"), F.col("row.text_hash")).alias(mark))
+    repeated = materialise(rows.where("n > 1").select(name(F.col("row.doc_id"), F.col("row.text_hash")).alias(mark)), "repeated")
+    gone = materialise(gone, "gone")
+    marked = docs.select(name(F.col(named(key)).cast("long"), F.xxhash64(F.col(named(text)).cast("string"))).alias(mark), F.struct(*columns_of(docs)).alias("row"))
+    once = marked.join(gone.unionByName(repeated), mark, "left_anti").select("row")
+    several = marked.join(repeated.join(gone, mark, "left_anti"), mark, "left_semi").groupBy(mark).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return once.unionByName(several).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import open_store, scratch, ship, table
+from kinlink.llm.common import named, open_store, scratch, ship, table
 from kinlink.llm.tokens import encoder
 
 AT_ONCE = 256
@@ -98,7 +98,7 @@ def write_tokens(
     """Writes the ids of all documents under folder; returns the manifest with each file's first place among all ids (base)."""
     spark = docs.sparkSession
     ship(spark)
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     dealt = own.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.mapInArrow(_writer(folder, vocabulary, end_id, group_tokens, file_tokens, page_bytes), MANIFEST).write.parquet(f"{folder}/manifest")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, ship, table
+from kinlink.llm.common import materialise, named, ship, table
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -139,10 +139,10 @@ def fit(
 ) -> Model:
     """Trains on the labelled documents that are not held out."""
     ship(docs.sparkSession)
-    marked = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null")
+    marked = labels.select(F.col(named(key)).cast("long").alias("key"), F.col(named(label)).cast("int").alias("y")).where("key is not null and y is not null")
     chosen = marked.where(~held_out(F.col("key"))).groupBy("key").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("key"), "key").limit(sample)  # the documented bound; so it is small enough to broadcast
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
     own = own.join(F.broadcast(chosen), "key").groupBy(F.xxhash64("text").alias("hash")).agg(F.min("key").alias("key"), F.max("y").alias("y"), F.first("text").alias("text"))
     bounded = materialise(own.select("key", "y", "text"), "toxic-sample")
     n, positive = bounded.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -179,7 +179,7 @@ def _scorer(model: Model, offends: float):
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", offends: float = 0.5) -> DataFrame:
     """SCORES of every document: its score, the worst sentence, and the spans of those that offend (start:end in code points)."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
     return own.mapInArrow(_scorer(model, offends), SCORES)
 
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, table
+from kinlink.llm.common import materialise, named, table
 
 
 @dataclass(frozen=True)
@@ -109,8 +109,8 @@ def judge_urls(
     pages: DataFrame, outcomes: DataFrame, *, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, limit: float = 0.5, bound: float = 1.645,
 ) -> DataFrame:
     """key, host, path, rule, verdict, n, bad, rate and low of every page. outcomes: key and bad (0 or 1) of labelled pages."""
-    host, path = parts(F.col(url))
-    own = pages.select(F.col(key).cast("long").alias("key"), host.alias("host"), path.alias("path"))
+    host, path = parts(F.col(named(url)))
+    own = pages.select(F.col(named(key)).cast("long").alias("key"), host.alias("host"), path.alias("path"))
     marked = outcomes.select(F.col(outcomes.columns[0]).cast("long").alias("key"), F.col(outcomes.columns[1]).cast("int").alias("bad")).where("bad is not null").groupBy("key").agg(F.max("bad").alias("bad"))
     counts = own.join(marked, "key", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = counts.select("host", registered_domain(F.col("host")).alias("domain"), "n", "bad")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import open_store, scratch, ship, table
+from kinlink.llm.common import named, open_store, scratch, ship, table
 
 SEEK_TABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "key long, bundle string, frame long, frame_offset long, frame_bytes long, record_offset long, record_bytes long, record_type string"
@@ -132,7 +132,7 @@ def write_bundles(
     files of lost attempts are never named."""
     ship(records.sparkSession)
     own = records.select(
-        F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"),
+        F.col(named(key)).cast("long").alias("key"), F.col(named(uri)).cast("string").alias("uri"), F.coalesce(F.col(named(payload)).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     first = own.groupBy("sha1", "size").agg(F.max("key").alias("leader"))
     joined = own.join(first, ["sha1", "size"])

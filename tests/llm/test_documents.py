@@ -354,16 +354,138 @@ def test_licence_scan():
     assert (a["n_words"], a["n_base"], a["first_word"], a["last_word"], a["base_labels"], a["labels"]) == (13, 3, 3, 8, "gpl,mit", "gpl,gpl-3.0,mit")
     assert scan(None)["n_words"] == 0 and scan("")["labels"] == "" and scan("permit license")["n_base"] == 0 and scan("mité license")["n_base"] == 0
     b = scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0 */")
-    assert b["expressions"] == "gpl-2.0-only with classpath-exception-2.0 and mit or apache-2.0 and gpl-2.0-only with classpath-exception-2.0"
+    assert b["expressions"] == "(mit or apache-2.0) and gpl-2.0-only with classpath-exception-2.0"
+    assert b["labels"] == "apache-2.0,gpl-2.0-only with classpath-exception-2.0,mit"
     assert scan("Licensed under CC BY-NC 4.0.")["labels"] == "cc-by-nc" and scan("SPDX-License-Identifier: ???")["labels"] == ""
     assert scan("mit license mit license")["n_base"] == 2
+    assert scan("SPDX-License-Identifier: see LICENSE file")["score"] == 0
+    c = scan("SPDX-License-Identifier: MIT and text SPDX-License-Identifier: Apache-2.0\nspdx license identifier LicenseRef-own-1")
+    assert (c["expressions"], c["labels"]) == ("mit; apache-2.0; licenseref-own-1", "apache-2.0,licenseref-own-1,mit")
 
 
-@pytest.mark.parametrize("text, order", [("a or b and c", "a b c and or"), ("(a or b) and c", "a b or c and"), ("a and b with c or d", "a b c with and d or"), ("a b", "a"), ("or a", ""), ("(a", ""), ("a and", "a"), ("mit.", "mit")])
+NAMES = ("mit", "isc", "zlib", "gpl-2.0-only", "apache-2.0")
+
+
+@pytest.mark.parametrize(
+    "text, order",
+    [
+        ("mit or isc and zlib", "mit isc zlib and or"), ("(mit or isc) and zlib", "mit isc or zlib and"), ("mit and isc with llvm-exception or zlib", "mit isc llvm-exception with and zlib or"), ("mit isc", "mit"),
+        ("or mit", ""), ("(mit", ""), ("mit and", "mit"), ("mit.", "mit"), ("mit and word", "mit"), ("mit with isc", "mit"), ("(mit) with llvm-exception", "mit"), ("mit or (isc and (zlib))", "mit isc zlib and or"),
+    ],
+)
 def test_shunting_yard(text, order):
     assert " ".join(license.postfix(text)) == order
 
 
+def test_expressions_are_exact_at_any_size():
+    r = random.Random(51)
+
+    def made(depth):
+        if not depth or r.random() < 0.2:
+            return r.choice(NAMES) + (" with llvm-exception" if r.random() < 0.1 else "")
+        a, op, b = made(depth - 1), r.choice(("and", "or")), made(depth - 1)
+        return f"({a}) {op} ({b})" if r.random() < 0.5 and "with" not in a + b else f"{a} {op} {b}"
+
+    for _ in range(500):
+        text = made(r.randrange(6))
+        order = license.postfix(text)
+        for _ in range(4):
+            holds = {n: r.random() < 0.5 for n in NAMES}
+            named = re.sub(r" with llvm-exception", "", text)
+            wanted = eval(re.sub("|".join(map(re.escape, NAMES)), lambda m: str(holds[m[0]]), named))
+            assert license.evaluate(order, holds.get) == license.evaluate(license.postfix(license.written(order)), holds.get) == wanted, text
+    seven = " and ".join(f"(mit or {n})" for n in ("isc", "zlib", "ncsa", "curl", "x11", "ruby", "vim"))
+    assert license.written(license.postfix(seven)) == seven and license.evaluate(license.postfix(seven), lambda n: n == "mit")
+    deep = "(" * 20_000 + "mit" + ")" * 20_000
+    assert license.postfix(deep) == ["mit"]
+    wide = " or ".join(["mit and isc"] * 20_000)
+    assert license.written(license.postfix(wide)) == wide
+
+
+def slow_scan(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    def places(phrase):
+        p = phrase.split()
+        return [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+
+    base = [(i, label) for phrase, label in license.BASE.items() for i in places(phrase)]
+    all_found = [(i, phrase) for phrase in [*license.BASE, *license.MORE, license.TAG] for i in places(phrase)]
+    rest, labels = 1.0, {x for _, x in base}
+    for i, phrase in all_found:
+        longer = any(j == i and len(other) > len(phrase) for j, other in all_found)
+        if phrase in license.BASE:
+            rest *= 1 - license.BASE_WEIGHT
+        elif phrase in license.MORE and not longer:
+            labels.add(license.MORE[phrase][0])
+            rest *= 1 - license.MORE[phrase][1]
+    edges = [m for m in re.finditer("spdx[-]license[-]identifier|spdx license identifier", low)]
+    edges = [m for m in edges if not re.match(r"[a-z0-9\x80-\U0010ffff]", low[m.start() - 1 : m.start()] or " ") and not re.match(r"[a-z0-9\x80-\U0010ffff]", low[m.end() : m.end() + 1] or " ")]
+    for m, after in zip(edges, [*(x.start() for x in edges[1:]), len(low)]):
+        line = re.split(r"[^\x20-\x7e\t]", low[m.end() : after])[0].strip(" \t").removeprefix(":")
+        tokens = re.findall(r"[()]|[a-z0-9](?:[a-z0-9.:-]*[a-z0-9])?\+?|\S", line)
+        for n in range(len(tokens), 0, -1):  # the longest head that a grammar of its own reads
+            if (got := grammar(tokens[:n])) is not None:
+                labels |= got
+                rest *= 1 - license.TAG_WEIGHT
+                break
+    at = [i for i, _ in base]
+    return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), 1 - rest
+
+
+def grammar(tokens):
+    """The labels of a whole expression, else None: or of and of names or brackets."""
+    at = 0
+
+    def term():
+        nonlocal at
+        if at < len(tokens) and tokens[at] == "(":
+            at += 1
+            got = either("or")
+            if got is None or at >= len(tokens) or tokens[at] != ")":
+                return None
+            at += 1
+            return got
+        if at < len(tokens) and license.NAME.fullmatch(tokens[at]):
+            name = tokens[at]
+            at += 1
+            if at + 1 < len(tokens) and tokens[at] == "with" and license.EXCEPTION.fullmatch(tokens[at + 1]):
+                name, at = f"{name} with {tokens[at + 1]}", at + 2
+            return {name}
+        return None
+
+    def either(op):
+        nonlocal at
+        got = either("and") if op == "or" else term()
+        while got is not None and at < len(tokens) and tokens[at] == op:
+            at += 1
+            more = either("and") if op == "or" else term()
+            got = None if more is None else got | more
+        return got
+
+    got = either("or")
+    return got if at == len(tokens) else None
+
+
+def test_scan_against_brute_force():
+    r, finders = random.Random(52), license.automaton()
+    bits = [*license.BASE, *license.MORE, "SPDX-License-Identifier:", "spdx license identifier", "xspdx-license-identifier: mit", "MIT", "or", "and", "with", "(", ")", "Apache-2.0", "classpath-exception-2.0", "word", "é", "license", "general", "\n", ", ", "cc", "by", "nc"]
+    for _ in range(1500):
+        text = "".join(r.choice(bits) + r.choice([" ", " ", "\n", "-", ""]) for _ in range(r.randrange(25)))
+        got = license.scan(text, finders)
+        wanted = slow_scan(text)
+        assert got[:6] == wanted[:6] and got[6] == pytest.approx(wanted[6]), text
+
+
+def test_many_tags_take_linear_time():
+    import time
+
+    finders, began = license.automaton(), time.time()
+    got = license.scan("SPDX-License-Identifier: see file " * 20_000, finders)
+    assert got[0] == 100_000 and got[5] == "" and time.time() - began < 2
+
+
 def test_licence_table(spark):
     got = license.scan_licenses(docs(spark, ODD + [(1, "MIT License")]))
     assert got.count() == len(ODD) + 1 and got.where("base_labels = 'mit'").first().key == 1
