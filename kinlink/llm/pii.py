@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import columns_of, materialise, named, table
+from kinlink.llm.common import columns_of, materialise, named, spread_join, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds, in forms that find the same without trying a run twice.
@@ -136,7 +136,7 @@ def trusted_patterns(found: DataFrame, *, rounds: int = 3, confidence: float = 0
     for _ in range(rounds):
         scored = sure.groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("conf"), F.count("*").alias("n"))
         patterns = materialise(scored.where((F.col("conf") >= 0.5) & (F.col("n") >= support)), "patterns")
-        held = edges.join(patterns.select("pattern", "conf"), "pattern")
+        held = spread_join(edges, patterns, "pattern", by="instance", n="n")
         ors = held.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.99)))))).alias("conf"))
         known = F.when(F.col("seed"), F.lit(1.0)).when(F.col("instance").rlike(IDENTIFIER), F.coalesce("conf", F.lit(0.0))).otherwise(F.lit(0.0))
         sure = edges.join(ors, "instance", "left").withColumn("conf", known)

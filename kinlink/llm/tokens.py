@@ -3,7 +3,8 @@
 A text is cut where its tokenizer always cuts, each piece is encoded by the library once and kept, and the
 pieces' ids are joined; a piece of letters alone is put straight to the library's model. Pieces are cut only at one
 space or line end between two plain Latin characters, where word-level and byte-level BPE pre-tokenizers always begin
-a new word; all other text stays in larger pieces.
+a new word; all other text stays in larger pieces. A text that spells one of the vocabulary's added tokens goes to the
+library whole, which cuts it there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import os
 import re
 import struct
 
+import numpy as np
+
 PLAIN = "!-~¡-ɏ"
 PLAIN_WORD = re.compile(f"[{PLAIN}]+")
 TAILED = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-^`{-~]+)")
@@ -79,12 +82,15 @@ class TextEncoder:
 
         path = vocabulary(name_or_path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            rules = json.dumps({k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer")})
+            given = json.load(f)
+        rules = json.dumps({k: given[k] for k in ("normalizer", "pre_tokenizer")})
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in given["added_tokens"]) or r"(?!)", re.IGNORECASE)
         self.spaces_stay = '"ByteLevel"' in rules and "\\\\s+" not in json.dumps(json.loads(rules).get("normalizer"))
         cut = f"(?<=[{PLAIN}])(?= [{PLAIN}])" if self.spaces_stay else f"(?<=[{PLAIN}])[ \n](?=[{PLAIN}])"
         self.cut = re.compile(cut)
+        starts = {"" if t["normalized"] else t["content"][:2] for t in given["added_tokens"]}
+        self.mark = starts.pop() if len(starts) == 1 else ""  # what every added token begins with, sought before the rest
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.known = Known(self.tokenizer, self.spaces_stay)
 
@@ -106,7 +112,10 @@ class TextEncoder:
         return text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(map(self.known.__getitem__, self.pieces(t))) + self.end if t else self.end for t in texts]
+        return [(self._whole(t) if self.mark in t and self.added.search(t) else b"".join(map(self.known.__getitem__, self.pieces(t)))) + self.end if t else self.end for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[tuple, TextEncoder] = {}

@@ -81,27 +81,38 @@ class Model:
         return 1 - rest, found
 
 
+class Bags:
+    """Labelled bags of sentences, (label, sentences as word numbers), laid out for the noisy-or."""
+
+    def __init__(self, bags: list[tuple[bool, list[list[int]]]], n_words: int):
+        sentences = [s for b in bags for s in b[1]]
+        self.y, self.n_words, self.n_sentences = np.array([b[0] for b in bags], float), n_words, len(sentences)
+        self.bag = np.array([i for i, b in enumerate(bags) for _ in b[1]], np.int64)
+        self.of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+        self.words = np.array([w for s in sentences for w in s], np.int64)
+
+    def slopes(self, x: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+        """The log-likelihood of the labels and its gradient, at the weights x[:-1] and the leak sigmoid(x[-1])."""
+        z = bias + np.bincount(self.of, x[self.words], self.n_sentences)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        leak = 1 / (1 + np.exp(-x[-1]))
+        rest = np.log1p(-leak) + np.bincount(self.bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(self.y))
+        whole = np.maximum(-np.expm1(rest), 1e-9)
+        pull = np.where(self.y > 0, np.exp(rest) / whole, -1.0)  # of the log-likelihood by -rest
+        return float(np.where(self.y > 0, np.log(whole), rest).sum()), np.append(np.bincount(self.words, (pull[self.bag] * p)[self.of], self.n_words), (pull * leak).sum())
+
+
 def train(bags: list[tuple[bool, list[list[int]]]], n_words: int, *, bias: float = -4.0, penalty: float = 0.2, epochs: int = 800, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights, none negative, and leak by Adam on the noisy-or's log-likelihood less penalty times their sum. bags: (label, sentences as word numbers).
 
     The bias is fixed and low and weights cost, so a word is weighed only for documents that no other word explains:
     one that merely stands beside offending sentences gets nothing."""
-    y = np.array([b[0] for b in bags], float)
-    bag = np.array([i for i, b in enumerate(bags) for _ in b[1]], np.int64)
-    sentences = [s for b in bags for s in b[1]]
-    of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    words = np.array([w for s in sentences for w in s], np.int64)
-    x = np.zeros(n_words + 1)
+    laid, x = Bags(bags, n_words), np.zeros(n_words + 1)
     x[-1] = -3.0
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, epochs + 1):
-        z = bias + np.bincount(of, x[words], len(sentences))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        leak = 1 / (1 + np.exp(-x[-1]))
-        rest = np.log1p(-leak) + np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
-        whole = np.maximum(-np.expm1(rest), 1e-9)
-        pull = np.where(y > 0, np.exp(rest) / whole, -1.0)  # of the log-likelihood by -rest
-        g = np.append(np.bincount(words, (pull[bag] * p)[of], n_words) - penalty, (pull * leak).sum())
+        g = laid.slopes(x, bias)[1]
+        g[:-1] -= penalty
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         pace = rate * min(1.0, 4 * (1 - step / (epochs + 1)))
         x = x + pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, named, table
+from kinlink.llm.common import materialise, named, spread_join, table
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def reputation(hosts: DataFrame, *, bound: float = 1.645) -> DataFrame:
     domain = by_domain.join(suffix, "suffix").select("domain", mean(F.col("above"), s_domain).alias("above"))
     rated = hosts.join(domain, "domain").withColumn("rate", mean(F.col("above"), s_host))
     deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (s_host + F.col("n") + 1))
-    return rated.select("host", "n", "bad", "rate", F.greatest(F.lit(0.0), F.col("rate") - bound * deviation).alias("low"))
+    return rated.select(*(c for c in hosts.columns if c not in ("domain", "suffix")), "rate", F.greatest(F.lit(0.0), F.col("rate") - bound * deviation).alias("low"))
 
 
 def judge_urls(
@@ -112,14 +112,45 @@ def judge_urls(
     host, path = parts(F.col(named(url)))
     own = pages.select(F.col(named(key)).cast("long").alias("key"), host.alias("host"), path.alias("path"))
     marked = outcomes.select(F.col(outcomes.columns[0]).cast("long").alias("key"), F.col(outcomes.columns[1]).cast("int").alias("bad")).where("bad is not null").groupBy("key").agg(F.max("bad").alias("bad"))
-    counts = own.join(marked, "key", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = counts.select("host", registered_domain(F.col("host")).alias("domain"), "n", "bad")
+    counts = own.join(marked, "key", "left").groupBy("host").agg(F.count("*").alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = counts.select("host", registered_domain(F.col("host")).alias("domain"), "n_pages", "n", "bad")
     hosts = hosts.withColumn("suffix", F.when(F.col("domain").contains("."), F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(F.col("domain")))
-    rated = reputation(materialise(hosts, "hosts"), bound=bound)  # each level reads the counts again
+    hosts = materialise(hosts, "hosts")  # each level reads the counts again
+    rated = materialise(reputation(hosts, bound=bound), "rated")
     rule = rule_of(F.col("host"), F.col("path"), rules, lambda r: r.name)
     ruled = rule_of(F.col("host"), F.col("path"), rules, lambda r: r.verdict)
     learned = F.when(F.col("low") > limit, F.lit("block")).otherwise(F.lit("allow"))
-    return own.join(rated, "host").select("key", "host", "path", rule.alias("rule"), F.coalesce(ruled, learned).alias("verdict"), "n", "bad", "rate", "low")
+    return spread_join(own, rated, "host", by="key", n="n_pages").select("key", "host", "path", rule.alias("rule"), F.coalesce(ruled, learned).alias("verdict"), "n", "bad", "rate", "low")
+
+
+def _strength_sql(name: str, counts: str) -> str:
+    return f"""{name} AS (SELECT CASE WHEN big IS NULL OR k < 2 OR hits <= 0 OR hits >= big THEN 1000.0 WHEN r > 0 THEN least(1000.0, greatest(1.0, 1 / r - 1)) ELSE 1000.0 END AS s FROM (
+  SELECT *, CASE WHEN big - n2 / big - (k - 1) > 0 THEN (spread / (hits / big * (1 - hits / big)) - (k - 1)) / (big - n2 / big - (k - 1)) ELSE 0 END AS r FROM (
+    SELECT sum(n)::DOUBLE AS big, sum(bad)::DOUBLE AS hits, count(*)::DOUBLE AS k, sum(n::DOUBLE * n) AS n2, sum(n * pow(bad / n - (SELECT sum(bad) / sum(n) FROM {counts}), 2)) AS spread FROM {counts} WHERE n > 0)))"""
+
+
+OP10_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+own AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+marked AS (SELECT doc_id, max((coalesce(quality = 0, false) OR coalesce(toxic = 1, false))::INT) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
+named AS (SELECT host, string_split(host, '.') AS l, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM own LEFT JOIN marked ON doc_id = page_id GROUP BY ALL),
+placed AS (SELECT *, array_to_string(CASE WHEN length(l[-1]) = 2 AND len(l) > 1 AND l[-2] IN ({', '.join(f"'{x}'" for x in SECOND)}) THEN l[-3:] ELSE l[-2:] END, '.') AS domain FROM named),
+hosts AS (SELECT host, domain, CASE WHEN contains(domain, '.') THEN substr(domain, instr(domain, '.') + 1) ELSE domain END AS suffix, n, bad FROM placed),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+{_strength_sql("of_suffix", "suffixes")},
+{_strength_sql("of_domain", "domains")},
+{_strength_sql("of_host", "hosts")},
+top AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) ELSE 0 END AS m FROM suffixes),
+a AS (SELECT suffix, (m * s + bad) / (s + n) AS above FROM suffixes, top, of_suffix),
+b AS (SELECT domain, (above * s + bad) / (s + n) AS above FROM domains JOIN a USING (suffix), of_domain),
+rated AS (SELECT host, s, n, (above * s + bad) / (s + n) AS rate FROM hosts JOIN b USING (domain), of_host),
+judged AS (SELECT own.*, rate, greatest(0.0, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (s + n + 1))) AS low FROM own JOIN rated USING (host)),
+rules(r_host, r_path, r_verdict) AS (VALUES {', '.join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)}),
+ruled AS (SELECT page_id, max_by(r_host || r_path, length(r_host || r_path)) AS rule, max_by(r_verdict, length(r_host || r_path)) AS said FROM judged JOIN rules
+  ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS rate, round(low, 6) AS low FROM judged LEFT JOIN ruled USING (page_id)
+"""
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import named, open_store, scratch, ship, table
+from kinlink.llm.common import materialise, named, open_store, scratch, ship, spread_join, table
 
 SEEK_TABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "key long, bundle string, frame long, frame_offset long, frame_bytes long, record_offset long, record_bytes long, record_type string"
@@ -128,14 +128,14 @@ def write_bundles(
     """Writes every row of records into bundles under folder and returns their index (INDEX), which is itself written there.
 
     One shuffle deals the rows by payload digest; the side of the equal payloads has one small row a payload, and a payload
-    that many records share is split by Spark's skew join. Only bundles that the index names belong to the archive:
+    that many records share is dealt to several tasks. Only bundles that the index names belong to the archive:
     files of lost attempts are never named."""
     ship(records.sparkSession)
     own = records.select(
         F.col(named(key)).cast("long").alias("key"), F.col(named(uri)).cast("string").alias("uri"), F.coalesce(F.col(named(payload)).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    first = own.groupBy("sha1", "size").agg(F.max("key").alias("leader"))
-    joined = own.join(first, ["sha1", "size"])
+    first = materialise(own.groupBy("sha1").agg(F.max("key").alias("leader"), F.count("*").alias("n")), "payloads")
+    joined = spread_join(own, first, "sha1", by="key", n="n")
     alone = (F.col("size") < min_revisit_bytes) | F.col("key").eqNullSafe(F.col("leader"))
     dealt = joined.select("key", "uri", F.when(alone, F.col("payload")).alias("payload"), "size", "sha1", F.when(~alone, F.col("leader")).alias("refers_to"))
     dealt.mapInArrow(_writer(folder, frame_bytes, bundle_bytes, level, date), INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")

@@ -341,6 +341,15 @@ def test_patterns_discover_unseen_identifiers_and_masking(spark):
     assert pii.mask(own).count() == len(rows)
 
 
+def test_patterns_that_are_joined_find_the_same(spark):
+    r = random.Random(16)
+    rows = [(i, f'{prose(r, 6)} token = "{hashlib.md5(str(i).encode()).hexdigest()}" a.b@c.de') for i in range(8)] + [(20, 'token = "XYZ-77-pq"'), (21, 'token = "XYZ-77-pq" or token = "ABC-11-rs"'), *ODD]
+    own = docs(spark, rows)
+    found = [sorted((str(x.doc_id), str(x.found)) for x in pii.personal_data(own, most_bytes=n).collect()) for n in (1 << 20, -1)]
+    masked = [sorted((str(x.doc_id), x.text or "") for x in pii.mask(own, most_bytes=n).collect()) for n in (1 << 20, -1)]
+    assert found[0] == found[1] and masked[0] == masked[1] and ("21", 'token = "[FOUND]" or token = "[FOUND]"') in masked[0]
+
+
 # licences
 
 
@@ -518,9 +527,73 @@ def test_toxicity_is_learned_from_bags_and_located(spark):
     assert toxicity.score(own.limit(0), model).count() == 0
 
 
+def test_noisy_or_and_its_gradient_against_brute_force():
+    import math
+
+    r = random.Random(61)
+    bags = [(r.random() < 0.4, [[w for w in range(6) if r.random() < 0.4] or [0] for _ in range(r.randrange(5))]) for _ in range(30)]
+    x = np.array([r.uniform(0, 3) for _ in range(6)] + [-1.5])
+
+    def likelihood(x):
+        total, leak = 0.0, 1 / (1 + math.exp(-x[-1]))
+        for y, sentences in bags:
+            clean = 1 - leak
+            for s in sentences:
+                clean *= 1 - 1 / (1 + math.exp(4.0 - sum(x[w] for w in s)))
+            total += math.log(1 - clean if y else clean)
+        return total
+
+    value, slopes = toxicity.Bags(bags, 6).slopes(x, -4.0)
+    assert value == pytest.approx(likelihood(x))
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        assert slopes[i] == pytest.approx((likelihood(x + step) - likelihood(x - step)) / 2e-6, rel=1e-4, abs=1e-6)
+    before = likelihood(np.array([0.0] * 6 + [-3.0]))
+    weights, leak = toxicity.train(bags, 6, penalty=0.0)
+    assert likelihood(np.append(weights, math.log(leak / (1 - leak)))) > before and (weights >= 0).all()
+
+
+def test_toxicity_scores_are_noisy_ors():
+    import math
+
+    model = toxicity.Model({"bad": 3.0, "wor-": 2.0, "worse": 1.5}, -4.0, 0.05)
+    known = toxicity.Known(model.weights)
+    sentence = lambda *w: 1 / (1 + math.exp(4.0 - sum(w)))
+    score, found = model.score("All bad bad. Fine!\nWorse and BAD? word", known)
+    wanted = [sentence(3.0), sentence(2.0, 1.5, 3.0), sentence(2.0)]
+    assert [p for *_, p in found] == pytest.approx(wanted) and score == pytest.approx(1 - 0.95 * math.prod(1 - p for p in wanted))
+    assert model.score("nothing here", known) == (0.05, []) and model.score(None, known) == (0.05, [])
+
+
 # urls
 
 
+def test_verdicts_equal_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(71)
+    hosts = [f"{a}{b}" for b in ("spam.com", "good.org", "x.co.uk", "y.co.uk", "lone", "example.com", "example.net") for a in ("", "a.", "b.", "c.d.")]
+    rates = {h: r.choice([0.05, 0.2, 0.95]) for h in hosts}
+    pages, labels = [(1, None), (2, "no scheme"), (3, "x://")], []
+    for i in range(10, 1500):
+        h = r.choice(hosts[:4]) if i % 3 == 0 else r.choice(hosts)
+        pages.append((i, f"http://{h.upper() if i % 5 == 0 else h}{r.choice(['/en/7', '/de/88', '/es/', '?q', '', '/x#y'])}"))
+        if r.random() < 0.5:
+            bad = r.random() < rates[h]
+            labels.append((i, *r.choice([(0, 0), (1, 1), (0, None)] if bad else [(1, 0), (None, 0), (1, None), (None, None)])))
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {x[0]: tuple(x) for x in urls.op10_urls(spark, str(tmp_path)).collect()}
+    wanted = {x[0]: x for x in db.execute(urls.OP10_SQL).fetchall()}
+    assert got.keys() == wanted.keys() and {x[4] for x in wanted.values()} == {"allow", "block"}
+    for k, w in wanted.items():
+        assert got[k][:5] == w[:5] and got[k][5:] == pytest.approx(w[5:], abs=2e-6), (got[k], w)
+    assert any(w[3] is None and w[4] == "block" for w in wanted.values())
+
+
 def test_rules_and_parts(spark):
     rows = [
         (1, "http://A.Example.COM/en/7x?q", "a.example.com", "/en/7x", "example.com/en/7", "allow"), (2, "https://x.com/en/1#f", "x.com", "/en/1", "com/en/", "block"),
@@ -579,3 +652,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[EMAIL]" in masked.text and masked.n_chars == len(masked.text)
     assert all(seen[n].columns == ["doc_id", "text", "lang", "source", "n_chars"] for n in list(seen)[:-1])
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(d)).collect()} == clean | {43}
+
+
+ODD_COLUMNS = ["doc_id", "text", "n_chars", "a.b", "with blank", "back`quote", "Mark", "row", "own", "counts", "n", "cues"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_keep_odd_columns_and_empty_tables(spark, tmp_path, empty):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    r = random.Random(18)
+    text = prose(r, 60)
+    rows = [] if empty else [(1, text, 9, 1, "x", None, 2, 3, 4, 5, 6, 7), (1, text, 9, 1, "x", None, 2, 3, 4, 5, 6, 7), (1, text, 9, 0, "y", "z", 2, 3, 4, 5, 6, 7), (2, None, None, *[None] * 9), (None, prose(r, 50) + " a@b.co", 5, *[1] * 9)]
+    schema = ", ".join(f"`{c.replace('`', '``')}` {'string' if c in ('text', 'with blank', 'back`quote') else 'long'}" for c in ODD_COLUMNS)
+    rows = [tuple(str(x) if i in (1, 4, 5) and x is not None else x for i, x in enumerate(row)) for row in rows]
+    table = spark.createDataFrame(rows, schema)
+    d = tmp_path / "sf"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    spark.createDataFrame([] if empty else [(1, prose(r, 20))], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, table, str(d))
+        if name != "packing":
+            assert made.columns == ODD_COLUMNS
+        made.write.parquet(str(tmp_path / name))
+        table = spark.read.parquet(str(tmp_path / name))
+        if name == "near_duplicates" and not empty:  # of rows with equal id and text the one whose columns come first stays
+            assert sorted((str(x.doc_id), x["a.b"]) for x in table.collect()) == [("1", 0), ("None", 1)]
+        if name == "pii" and not empty:
+            assert {x.text.split()[-1] for x in table.where("doc_id is null").collect()} == {"[EMAIL]"}
+    assert {x.doc_id for x in table.collect()} == (set() if empty else {1, None})
