@@ -43,7 +43,7 @@ SIZE, SIMILARITY = 5, 0.8
 LONGS, BLOCKS, BLOCK_BITS, RADIUS = 4, 5, 12, 59  # BLOCKS a long
 NEAR = RADIUS // (LONGS * BLOCKS)
 BITS_EACH, FEWEST_BITS, MOST_BITS, FILTER_HASHES = 16, 1 << 16, 1 << 26, 4  # the filter has at most 8 MB
-MOST_BROADCAST = 32 << 20  # bytes
+MOST_BROADCAST = 8 << 20  # bytes
 SPREAD = 16
 BLANK = r"[\x20\x09-\x0D]+"
 

@@ -14,10 +14,12 @@ those around one pivot, are not compared again, so a large group of near copies
 Components are found by large-star and small-star rounds over the edges, with minima by aggregation, never by lists.
 
 With a `similarity`, as the corpus pipeline asks for, texts are linked by the exact Jaccard similarity of their sets of
-shingles instead, whatever their fingerprints: a radius that covers 0.8 (about 23 bits of 64) would let an index pass
-nearly every pair. Two sets so alike share one of their first n - ceil(similarity * n) + 1 shingles in any common order,
-so candidates meet on those, rarest first by a sample; the order changes the time, never the result. Equal sets are
-one node. Candidates around one pivot a block are verified first; then only pairs across the components so far.
+shingles instead. Sets 0.8 alike differ in about 10 of 64 bits, give or take 3, so the radius is `WIDE` (23) bits; no
+index of such a radius prunes by itself, so fingerprints are compared among texts that share a key, and exact similarity
+verifies what passes. A text's keys are the first of its shingles in one order of all, those that a sample holds often
+last and the rest by hash. Two sets so alike share one of their first n - ceil(similarity * n) + 1; a text of more
+takes as many that the chance of no common key is below `MISS` (1e-10) a pair, in most texts 17. Sets that are equal
+are one node. Pairs around one pivot a block are verified first; then only pairs across the components so far.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other. A text shorter than a shingle is
 one shingle. Repeated rows stay rows, with one component. A null doc_id is no component's name unless the whole
@@ -38,6 +40,7 @@ from kinlink.llm.common import columns_of, materialise, named, no_clash, ship, s
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
 SEGMENTS, RADIUS = len(WIDTHS), 4
+WIDE, MISS = 23, 1e-10
 
 
 def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -243,36 +246,76 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def shingle_set(text: str | None, size: int, seed: int = 42) -> np.ndarray:
-    """The distinct hashes of a text's shingles, as in simhash, in order."""
-    from xxhash import xxh64_intdigest
+class Hashes(dict):
+    """64-bit hashes of words, kept for the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= 1 << 20:
+            self.clear()
+        out = self[word] = xxh64_intdigest(word, 42)
+        return out
+
+
+_hashes = Hashes()
+
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ASCII letters lowered, in order; a text shorter than a shingle is one."""
     words = (text or "").encode().lower().split()
-    shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
-    return np.unique(np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8"))
+    w = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
+    size = min(size, len(w))
+    if not size:
+        return w
+    h = w[: len(w) - size + 1].copy()
+    for k in range(1, size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ (h >> np.uint64(29)))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of hashes."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def n_keys(n: int, rare: int, similarity: float) -> int:
+    """How many keys a set of n shingles needs, rare of them not known to be frequent.
 
+    At most (1 / similarity - 1) * n of the shingles of two such sets are in one only, so that is the chance, through
+    rare, of each of the first in their order; the first n - ceil(similarity * n) + 1 hold a common one for certain."""
+    sure = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    chance = (1 / similarity - 1) * n / max(rare, 1)
+    return min(sure, int(np.ceil(np.log(MISS) / np.log(chance)))) if 0 < chance < 1 else sure
 
-def _prefixer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
+
+def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
     """known: hashes in order that a sample holds often, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            node, n, prefix = [], [], []
+            node, n, bits, keys = [], [], [], []
             for t in b.column(1):
                 own = shingle_set(t.as_py(), size)
                 rank = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     rank = np.where(known[at] == own, often[at], 0)
-                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                first = n_keys(len(own), int((rank == 0).sum()), similarity) if len(own) else 0
                 node.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
                 n.append(len(own))
-                prefix.append(own[np.argsort(rank, kind="stable")][:first].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "n", "prefix"]
-            )
+                bits.append(bits_of(own))
+                keys.append(own[np.argsort(rank, kind="stable")][:first].view(np.int64))
+            made = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["doc_id", "text_hash", "fp", "n", "bits", "keys"])
 
     return run
 
@@ -287,18 +330,19 @@ def _setter(size: int):
 
 
 def _pairer(similarity: float, star: bool):
-    """Candidate pairs of each block (rows come sorted by block): around pivots if star, else all across components."""
+    """Pairs of each block (rows come sorted by block) that sizes and fingerprints let pass: around pivots if star, else all across components."""
 
-    def pairs(fp: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((fp, n))
-        fp, n, c = fp[order], n[order], c[order]
+    def pairs(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not star and (c == c[0]).all():
             return
+        order = np.lexsort((fp, n))
+        fp, n, bits, c = fp[order], n[order], bits[order].view(np.uint64), c[order]
         most, i = np.searchsorted(n, n / similarity + 1e-9, side="right"), 0
         while i < len(fp) - 1:
-            other = fp[i + 1 : most[i]]
+            passing = np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE
             if not star:
-                other = other[c[i + 1 : most[i]] != c[i]]
+                passing &= c[i + 1 : most[i]] != c[i]
+            other = fp[i + 1 : most[i]][passing]
             if len(other):
                 yield np.minimum(other, fp[i]), np.maximum(other, fp[i])
             i = max(int(most[i]), i + 1) if star else i + 1
@@ -323,14 +367,14 @@ def _pairer(similarity: float, star: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            h, p, q, fp, n, c = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            h, p, q, *own = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
             new = np.flatnonzero((np.diff(h) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
-            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(fp)]):
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(h)]):
                 this = (int(h[lo]), int(p[lo]), int(q[lo]))
                 if this != block:
                     yield from done()
                     held, block = [], this
-                held.append((fp[lo:hi].copy(), n[lo:hi].copy(), c[lo:hi].copy()))
+                held.append(tuple(x[lo:hi].copy() for x in own))
         yield from done()
         yield batch_of()
 
@@ -338,37 +382,37 @@ def _pairer(similarity: float, star: bool):
 
 
 def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity: float, sample: int = 20_000) -> DataFrame:
-    """doc_id, text_hash, fp (a hash of the shingle set), n (its size) and prefix of every document."""
+    """doc_id, text_hash, fp (a hash of the shingle set), n (its size), bits (its SimHash) and keys of every document. The sample only orders the keys."""
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     part = own.where(F.pmod("text_hash", F.lit(max(1, own.count() // sample))) == 0).select("text_hash", "text")
     seen = part.mapInArrow(_setter(size), "text_hash long, shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").count()
-    top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).collect()  # bounded
-    known = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).toArrow()  # bounded
+    known, often = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(known)
-    often = np.array([r[1] for r in top], np.int64)
-    return own.mapInArrow(_prefixer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, prefix array<long>")
+    return own.mapInArrow(_keyer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, bits long, keys array<long>")
 
 
 def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, similarity: float, part_rows: int = 1 << 16) -> DataFrame:
     """Edges (a, b) between the sets of similar_sets that connect all that are at least so alike; every edge is such a pair."""
-    nodes = materialise(fps.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-    rows = nodes.select("fp", "n", F.explode("prefix").alias("h"))
-    shared = rows.groupBy("h").count().where("count > 1")
-    parts = F.when(F.col("count") > part_rows, F.ceil(F.col("count") * 2 / part_rows)).otherwise(1).cast("int")
-    rows = materialise(rows.join(shared, "h").select("h", "fp", "n", parts.alias("parts")), "shared")
+    nodes = materialise(fps.dropDuplicates(["fp"]).select("fp", "text_hash", "n", "bits", "keys"), "sets")
+    rows = nodes.select(F.explode("keys").alias("h"), "fp", "n", "bits")
+    large = rows.groupBy("h").count().where(F.col("count") > part_rows).select("h", F.ceil(F.col("count") * 2 / part_rows).cast("int").alias("parts"))
+    large = materialise(large, "large")  # at most one of part_rows rows
     texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
 
     def verified(rows: DataFrame, star: bool) -> DataFrame:
-        own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
-        every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
-        blocks = rows.select("h", F.explode(every).alias("x"), "fp", "n", "c").select("h", "x.p", "x.q", "fp", "n", "c")
+        parts = F.coalesce("parts", F.lit(1))
+        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        every = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
+        blocks = rows.join(large, "h", "left").select("h", F.explode(every).alias("x"), "fp", "n", "bits", "c").select("h", "x.p", "x.q", "fp", "n", "bits", "c")
         by = ["h", "p", "q"]
         pairs = blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_pairer(similarity, star), "a long, b long")
         pairs = materialise(pairs.distinct(), "pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "text_hash"), "fp")
-        held = texts.join(needed.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-        sets = materialise(needed.join(held.mapInArrow(_setter(size), "text_hash long, shingles array<long>"), "text_hash").select("fp", "shingles"), "shingles")
+        needed = materialise(needed, "needed")
+        held = texts.join(needed.select("text_hash"), "text_hash", "left_semi").mapInArrow(_setter(size), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
+        sets = materialise(needed.join(held, "text_hash").select("fp", "shingles"), "shingles")
         full = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
         both = F.size(F.array_intersect("s", "t"))
         return materialise(full.where(both / (F.size("s") + F.size("t") - both) >= similarity).select("a", "b"), "alike")
