@@ -189,7 +189,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     own_items = materialise(item_features(items, item_key, item_text, size), "items")
     unique = own_items.dropDuplicates(["item"])
     placed = unique.select("item", "n_words", "size", F.explode("hashes").alias("h")).groupBy("item", "n_words", "size", "h").agg(F.count("*").cast("int").alias("c"))
-    n_placed, n_items = placed.count(), own_items.count()
+    n_placed = placed.count()
     sizes = [r[0] for r in own_items.select("size").distinct().orderBy(F.desc("size")).collect()] or [size]  # at most size rows
     bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * n_placed).bit_length()))
     sieve = bloom(placed.select("h"), bits)
@@ -217,7 +217,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     index = known.select("item", "n_words", "item_fp", F.explode(variants("item_fp")).alias("v")).select("item", "n_words", "item_fp", "v.block", "v.value")
     probes = printed.select("window", "n_words", "fp", F.explode(blocks("fp")).alias("v")).select("window", "n_words", "fp", "v.block", "v.value")
     apart = differing("fp", "item_fp")
-    pairs = _met(probes, index, ["n_words", "block", "value"], "window", n_items * LONGS * BLOCKS * (1 + BLOCK_BITS * (BLOCK_BITS + 1) // 2), 96)
+    pairs = probes.join(index.hint("merge"), ["n_words", "block", "value"])  # windows are distinct here; a hint, for the index is larger than it looks
     # a pair that meets in several blocks counts in one
     pairs = pairs.where((apart <= RADIUS) & (_first_block("fp", "item_fp") == F.col("block"))).select("window", "item", apart.alias("differing_bits"))
     full = pairs.join(printed.select("window", F.col("features").alias("a")), "window").join(known.select("item", F.col("features").alias("b")), "item")

@@ -329,54 +329,88 @@ def _setter(size: int):
     return run
 
 
-def _pairer(similarity: float, star: bool):
-    """Pairs of each block (rows come sorted by block) that sizes and fingerprints let pass: around pivots if star, else all across components."""
+PAIRS = "a long, b long, h long, p int, q int, n int"
 
-    def pairs(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not star and (c == c[0]).all():
-            return
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[tuple[int, int, int], list[np.ndarray]]]:
+    """(h, p, q) and the other columns of each block of rows that come sorted by block; a block's rows may span batches."""
+    held, block = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, p, q, *own = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3 + n_columns))
+        new = np.flatnonzero((np.diff(h) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(h)]):
+            this = (int(h[lo]), int(p[lo]), int(q[lo]))
+            if this != block:
+                if block is not None:
+                    yield block, [np.concatenate(x) for x in zip(*held)]
+                held, block = [], this
+            held.append(tuple(x[lo:hi].copy() for x in own))
+    if block is not None:
+        yield block, [np.concatenate(x) for x in zip(*held)]
+
+
+def _sent(rows: Iterator[tuple[np.ndarray, ...]], at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of PAIRS from tuples of columns, of which those behind a and b may be missing."""
+    out, waiting = [], 0
+
+    def batch() -> pa.RecordBatch:
+        types = [pa.int64()] * 3 + [pa.int32()] * 3
+        columns = [pa.concat_arrays([pa.array(r[k], t) if k < len(r) else pa.nulls(len(r[0]), t) for r in out] or [pa.array([], t)]) for k, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PAIRS.split(", ")])
+
+    for r in rows:
+        out.append(r)
+        waiting += len(r[0])
+        if waiting > at_once:
+            yield batch()
+            out, waiting = [], 0
+    yield batch()
+
+
+def _stars(similarity: float):
+    """Of each block the pairs around pivots that sizes and fingerprints let pass; and its rows, if others pass too."""
+
+    def of(block: tuple[int, int, int], fp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         order = np.lexsort((fp, n))
-        fp, n, bits, c = fp[order], n[order], bits[order].view(np.uint64), c[order]
-        most, i = np.searchsorted(n, n / similarity + 1e-9, side="right"), 0
+        fp, n, bits = fp[order], n[order], bits[order].view(np.uint64)
+        most, i, done = np.searchsorted(n, n / similarity + 1e-9, side="right"), 0, False
+        pivot = np.zeros(len(fp), bool)
         while i < len(fp) - 1:
-            passing = np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE
-            if not star:
-                passing &= c[i + 1 : most[i]] != c[i]
-            other = fp[i + 1 : most[i]][passing]
+            pivot[i] = True
+            other = fp[i + 1 : most[i]][np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE]
             if len(other):
                 yield np.minimum(other, fp[i]), np.maximum(other, fp[i])
-            i = max(int(most[i]), i + 1) if star else i + 1
+            i = max(int(most[i]), i + 1)
+        for i in np.flatnonzero(~pivot[:-1]):
+            if (np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE).any():
+                yield fp, bits.view(np.int64), *(np.full(len(fp), x) for x in block), n
+                return
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block, out, waiting = [], None, [], 0
+        yield from _sent(x for block, columns in _blocks(batches, 3) if len(columns[0]) > 1 for x in of(block, *columns))
 
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]) if out else [], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
 
-        def done() -> Iterator[pa.RecordBatch]:
-            nonlocal out, waiting
-            if sum(len(x[0]) for x in held) < 2:
-                return
-            for pair in pairs(*(np.concatenate(x) for x in zip(*held))):
-                out.append(pair)
-                waiting += len(pair[0])
-                if waiting > 1 << 16:
-                    yield batch_of()
-                    out, waiting = [], 0
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, p, q, *own = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            new = np.flatnonzero((np.diff(h) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
-            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(h)]):
-                this = (int(h[lo]), int(p[lo]), int(q[lo]))
-                if this != block:
-                    yield from done()
-                    held, block = [], this
-                held.append(tuple(x[lo:hi].copy() for x in own))
-        yield from done()
-        yield batch_of()
+def _across(similarity: float):
+    """Of each block all pairs across components that sizes and fingerprints let pass."""
+
+    def of(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        if (c == c[0]).all():
+            return
+        order = np.lexsort((fp, n))
+        fp, n, bits, c = fp[order], n[order], bits[order].view(np.uint64), c[order]
+        most = np.searchsorted(n, n / similarity + 1e-9, side="right")
+        for i in range(len(fp) - 1):
+            near = (np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE) & (c[i + 1 : most[i]] != c[i])
+            if near.any():
+                other = fp[i + 1 : most[i]][near]
+                yield np.minimum(other, fp[i]), np.maximum(other, fp[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sent(x for _, columns in _blocks(batches, 4) for x in of(*columns))
 
     return run
 
@@ -398,16 +432,10 @@ def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, simi
     nodes = materialise(fps.dropDuplicates(["fp"]).select("fp", "text_hash", "n", "bits", "keys"), "sets")
     rows = nodes.select(F.explode("keys").alias("h"), "fp", "n", "bits")
     large = rows.groupBy("h").count().where(F.col("count") > part_rows).select("h", F.ceil(F.col("count") * 2 / part_rows).cast("int").alias("parts"))
-    large = materialise(large, "large")  # at most one of part_rows rows
+    large = materialise(large, "large")  # a row for part_rows rows at most
     texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
 
-    def verified(rows: DataFrame, star: bool) -> DataFrame:
-        parts = F.coalesce("parts", F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-        every = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
-        blocks = rows.join(large, "h", "left").select("h", F.explode(every).alias("x"), "fp", "n", "bits", "c").select("h", "x.p", "x.q", "fp", "n", "bits", "c")
-        by = ["h", "p", "q"]
-        pairs = blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_pairer(similarity, star), "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.distinct(), "pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "text_hash"), "fp")
         needed = materialise(needed, "needed")
@@ -417,9 +445,16 @@ def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, simi
         both = F.size(F.array_intersect("s", "t"))
         return materialise(full.where(both / (F.size("s") + F.size("t") - both) >= similarity).select("a", "b"), "alike")
 
-    first = verified(rows.withColumn("c", F.col("fp")), True)
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    every = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
+    blocks = rows.join(large, "h", "left").select("h", F.explode(every).alias("x"), "fp", "n", "bits").select("h", "x.p", "x.q", "fp", "n", "bits")
+    by = ["h", "p", "q"]
+    met = materialise(blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(similarity), PAIRS), "stars")
+    first = verified(met.where("h is null").select("a", "b"))
     so_far = components(first).withColumnRenamed("node", "fp")
-    second = verified(rows.join(so_far, "fp", "left").withColumn("c", F.coalesce("root", "fp")), False)
+    still = met.where("h is not null").select(*by, F.col("a").alias("fp"), "n", F.col("b").alias("bits")).join(so_far, "fp", "left").select(*by, "fp", "n", "bits", F.coalesce("root", "fp").alias("c"))
+    second = verified(still.repartition(*by).sortWithinPartitions(*by).mapInArrow(_across(similarity), PAIRS).select("a", "b"))
     return first.unionByName(second)
 
 
