@@ -42,7 +42,7 @@ from kinlink.llm.common import columns_of, materialise, named, no_clash, table
 SIZE, SIMILARITY = 5, 0.8
 LONGS, BLOCKS, BLOCK_BITS, RADIUS = 4, 5, 12, 59  # BLOCKS a long
 NEAR = RADIUS // (LONGS * BLOCKS)
-BITS_EACH, FEWEST_BITS, MOST_BITS, FILTER_HASHES = 16, 1 << 16, 1 << 26, 4  # the filter has at most 8 MB
+BITS_EACH, FEWEST_BITS, MOST_BITS, FILTER_HASHES = 64, 1 << 18, 1 << 27, 4  # the filter has at most 16 MB
 MOST_BROADCAST = 8 << 20  # bytes
 SPREAD = 16
 BLANK = r"[\x20\x09-\x0D]+"
@@ -206,6 +206,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     anchors = found.select("row", F.size("w").alias("n_doc"), F.explode("hits").alias("x")).select("row", "n_doc", "x.place", "x.h")
     best = best_windows(_met(anchors, placed, ["h"], "row", n_placed, 48), similarity)
     starts = best.groupBy("row").agg(F.collect_list(F.struct("start", "n_words", "size")).alias("starts"))  # one document's leaks
+    starts = materialise(starts, "starts")  # so that texts are not moved while there are few
     windows = found.join(starts, "row").select("row", "doc_id", "w", F.explode("starts").alias("x"))
     windows = windows.select("row", "doc_id", "x.start", "x.n_words", "x.size", F.slice("w", F.col("x.start") + 1, F.col("x.n_words")).alias("own"))
     windows = windows.select("row", "doc_id", "start", "n_words", F.size("own").alias("n_own"), F.sort_array(shingles_of("own", F.col("size"), sizes)).alias("hashes"))

@@ -14,9 +14,9 @@ those around one pivot, are not compared again, so a large group of near copies
 Components are found by large-star and small-star rounds over the edges, with minima by aggregation, never by lists.
 
 With a `similarity`, as the corpus pipeline asks for, texts are linked by the exact Jaccard similarity of their sets of
-shingles instead. Sets 0.8 alike differ in about 10 of 64 bits, give or take 3, so the radius is `WIDE` (23) bits; no
+shingles instead. Sets 0.8 alike differ in about 19 of 128 bits, give or take 4, so the radius is `WIDE` (40) bits; no
 index of such a radius prunes by itself, so fingerprints are compared among texts that share a key, and exact similarity
-verifies what passes. A text's keys are the first of its shingles in one order of all, those that a sample holds often
+verifies what passes, after one look at sketches of 256 bytes. A text's keys are the first of its shingles in one order of all, those that a sample holds often
 last and the rest by hash. Two sets so alike share one of their first n - ceil(similarity * n) + 1; a text of more
 takes as many that the chance of no common key is below `MISS` (1e-10) a pair, in most texts 17. Sets that are equal
 are one node. Pairs around one pivot a block are verified first; then only pairs across the components so far.
@@ -40,7 +40,7 @@ from kinlink.llm.common import columns_of, materialise, named, no_clash, ship, s
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
 SEGMENTS, RADIUS = len(WIDTHS), 4
-WIDE, MISS = 23, 1e-10
+WIDE, MISS, SKETCH = 40, 1e-10, 256
 
 
 def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -252,7 +252,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         out = self[word] = xxh64_intdigest(word, 42)
         return out
@@ -275,14 +275,40 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def bits_of(hashes: np.ndarray) -> int:
-    """The signed 64-bit SimHash of hashes."""
+def bits_of(hashes: np.ndarray) -> tuple[int, int]:
+    """The 128-bit SimHash of hashes as two signed longs."""
     if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+        return 0, 0
+    out, h = [], hashes
+    for _ in range(2):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return out[0], out[1]
+
+
+def sketch_of(own: np.ndarray) -> bytes:
+    """A byte for each 256th of the hashes' range, 0 where it has none: one permutation hashing of a sorted set."""
+    begin = np.append(np.searchsorted(own, np.arange(SKETCH, dtype=np.uint64) << np.uint64(56)), len(own))
+    some = begin[:-1] < begin[1:]
+    out = np.zeros(SKETCH, np.uint8)
+    out[some] = 1 + (own[begin[:-1][some]] >> np.uint64(20)) % np.uint64(255)
+    return out.tobytes()
+
+
+def _sketches_pass(similarity: float):
+    """Pairs (a, b) whose sketches agree as often as six deviations below what is expected of sets so alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
+            some, equal = ((x > 0) | (y > 0)).sum(1), ((x == y) & (x > 0)).sum(1)
+            keep = pa.array(equal >= similarity * some - 6 * np.sqrt(similarity * (1 - similarity) * some))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def n_keys(n: int, rare: int, similarity: float) -> int:
@@ -302,7 +328,7 @@ def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            node, n, bits, keys = [], [], [], []
+            node, n, bits, sketch, keys = [], [], [], [], []
             for t in b.column(1):
                 own = shingle_set(t.as_py(), size)
                 rank = np.zeros(len(own), np.int64)
@@ -313,9 +339,10 @@ def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
                 node.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
                 n.append(len(own))
                 bits.append(bits_of(own))
+                sketch.append(sketch_of(own))
                 keys.append(own[np.argsort(rank, kind="stable")][:first].view(np.int64))
-            made = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["doc_id", "text_hash", "fp", "n", "bits", "keys"])
+            made = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), *(pa.array([x[k] for x in bits], pa.int64()) for k in (0, 1)), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["doc_id", "text_hash", "fp", "n", "bits", "more", "sketch", "keys"])
 
     return run
 
@@ -329,7 +356,7 @@ def _setter(size: int):
     return run
 
 
-PAIRS = "a long, b long, h long, p int, q int, n int"
+PAIRS = "a long, b long, c long, h long, p int, q int, n int"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[tuple[int, int, int], list[np.ndarray]]]:
@@ -356,7 +383,7 @@ def _sent(rows: Iterator[tuple[np.ndarray, ...]], at_once: int = 1 << 16) -> Ite
     out, waiting = [], 0
 
     def batch() -> pa.RecordBatch:
-        types = [pa.int64()] * 3 + [pa.int32()] * 3
+        types = [pa.int64()] * 4 + [pa.int32()] * 3
         columns = [pa.concat_arrays([pa.array(r[k], t) if k < len(r) else pa.nulls(len(r[0]), t) for r in out] or [pa.array([], t)]) for k, t in enumerate(types)]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PAIRS.split(", ")])
 
@@ -369,27 +396,43 @@ def _sent(rows: Iterator[tuple[np.ndarray, ...]], at_once: int = 1 << 16) -> Ite
     yield batch()
 
 
+def _near(bits: np.ndarray, i: int, until: int) -> np.ndarray:
+    """Which of the fingerprints i + 1 to until are within WIDE bits of the i-th; a row is one of 128 bits."""
+    return np.bitwise_count(bits[i + 1 : until] ^ bits[i]).sum(1) <= WIDE
+
+
+def _centre(bits: np.ndarray) -> np.ndarray:
+    """The fingerprint of which each bit is what most have."""
+    ones = np.unpackbits(bits.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(bits)).view(np.uint64)
+
+
 def _stars(similarity: float):
-    """Of each block the pairs around pivots that sizes and fingerprints let pass; and its rows, if others pass too."""
+    """Of each block the pairs around pivots that sizes and fingerprints let pass; and its rows, if others pass too.
 
-    def of(block: tuple[int, int, int], fp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    A pivot is what lies nearest to the middle of those not yet paired: among the copies of one text the text itself."""
+
+    def of(block: tuple[int, int, int], fp: np.ndarray, n: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         order = np.lexsort((fp, n))
-        fp, n, bits = fp[order], n[order], bits[order].view(np.uint64)
-        most, i, done = np.searchsorted(n, n / similarity + 1e-9, side="right"), 0, False
-        pivot = np.zeros(len(fp), bool)
-        while i < len(fp) - 1:
-            pivot[i] = True
-            other = fp[i + 1 : most[i]][np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE]
-            if len(other):
-                yield np.minimum(other, fp[i]), np.maximum(other, fp[i])
-            i = max(int(most[i]), i + 1)
-        for i in np.flatnonzero(~pivot[:-1]):
-            if (np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE).any():
-                yield fp, bits.view(np.int64), *(np.full(len(fp), x) for x in block), n
+        fp, n, bits = fp[order], n[order], np.stack(bits, 1)[order].view(np.uint64)
+        left, told = np.arange(len(fp)), 0
+        while len(left) > 1:
+            at = 0 if len(left) == 2 else int(np.bitwise_count(bits[left] ^ _centre(bits[left])).sum(1).argmin())
+            pivot, rest = left[at], np.delete(left, at)
+            alike = (np.bitwise_count(bits[rest] ^ bits[pivot]).sum(1) <= WIDE) & (np.minimum(n[rest], n[pivot]) >= similarity * np.maximum(n[rest], n[pivot]) - 1e-9)
+            if alike.any():
+                yield np.minimum(fp[rest[alike]], fp[pivot]), np.maximum(fp[rest[alike]], fp[pivot])
+                told += int(alike.sum())
+            left = rest[~alike]
+        most = np.searchsorted(n, n / similarity + 1e-9, side="right")
+        for i in range(len(fp) - 1):
+            told -= int(_near(bits, i, most[i]).sum())
+            if told < 0:
+                yield fp, *bits.view(np.int64).T, *(np.full(len(fp), x) for x in block), n
                 return
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sent(x for block, columns in _blocks(batches, 3) if len(columns[0]) > 1 for x in of(block, *columns))
+        yield from _sent(x for block, columns in _blocks(batches, 4) if len(columns[0]) > 1 for x in of(block, *columns))
 
     return run
 
@@ -397,26 +440,26 @@ def _stars(similarity: float):
 def _across(similarity: float):
     """Of each block all pairs across components that sizes and fingerprints let pass."""
 
-    def of(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def of(fp: np.ndarray, n: np.ndarray, c: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         if (c == c[0]).all():
             return
         order = np.lexsort((fp, n))
-        fp, n, bits, c = fp[order], n[order], bits[order].view(np.uint64), c[order]
+        fp, n, c, bits = fp[order], n[order], c[order], np.stack(bits, 1)[order].view(np.uint64)
         most = np.searchsorted(n, n / similarity + 1e-9, side="right")
         for i in range(len(fp) - 1):
-            near = (np.bitwise_count(bits[i + 1 : most[i]] ^ bits[i]) <= WIDE) & (c[i + 1 : most[i]] != c[i])
+            near = _near(bits, i, most[i]) & (c[i + 1 : most[i]] != c[i])
             if near.any():
                 other = fp[i + 1 : most[i]][near]
                 yield np.minimum(other, fp[i]), np.maximum(other, fp[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sent(x for _, columns in _blocks(batches, 4) for x in of(*columns))
+        yield from _sent(x for _, columns in _blocks(batches, 5) for x in of(*columns))
 
     return run
 
 
-def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity: float, sample: int = 20_000) -> DataFrame:
-    """doc_id, text_hash, fp (a hash of the shingle set), n (its size), bits (its SimHash) and keys of every document. The sample only orders the keys."""
+def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity: float, sample: int = 4_000) -> DataFrame:
+    """doc_id, text_hash, fp (a hash of the shingle set), n (its size), bits and more (its SimHash) and keys of every document. The sample only orders the keys."""
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     part = own.where(F.pmod("text_hash", F.lit(max(1, own.count() // sample))) == 0).select("text_hash", "text")
@@ -424,21 +467,27 @@ def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity:
     top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).toArrow()  # bounded
     known, often = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(known)
-    return own.mapInArrow(_keyer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, bits long, keys array<long>")
+    return own.mapInArrow(_keyer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, bits long, more long, sketch binary, keys array<long>")
 
 
 def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, similarity: float, part_rows: int = 1 << 16) -> DataFrame:
     """Edges (a, b) between the sets of similar_sets that connect all that are at least so alike; every edge is such a pair."""
-    nodes = materialise(fps.dropDuplicates(["fp"]).select("fp", "text_hash", "n", "bits", "keys"), "sets")
-    rows = nodes.select(F.explode("keys").alias("h"), "fp", "n", "bits")
+    nodes = materialise(fps.dropDuplicates(["fp"]).select("fp", "text_hash", "n", "bits", "more", "sketch", "keys"), "sets")
+    rows = nodes.select(F.explode("keys").alias("h"), "fp", "n", "bits", "more")
     large = rows.groupBy("h").count().where(F.col("count") > part_rows).select("h", F.ceil(F.col("count") * 2 / part_rows).cast("int").alias("parts"))
     large = materialise(large, "large")  # a row for part_rows rows at most
     texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
 
+    def members(pairs: DataFrame, what: str) -> DataFrame:
+        named_in = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "named")
+        return materialise(nodes.select("fp", what).join(named_in, "fp"), "members")
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.distinct(), "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "text_hash"), "fp")
-        needed = materialise(needed, "needed")
+        drawn = members(pairs, "sketch")
+        drawn = pairs.join(drawn.select(F.col("fp").alias("a"), F.col("sketch").alias("s")), "a").join(drawn.select(F.col("fp").alias("b"), F.col("sketch").alias("t")), "b")
+        pairs = materialise(drawn.select("a", "b", "s", "t").mapInArrow(_sketches_pass(similarity), "a long, b long"), "passing")
+        needed = members(pairs, "text_hash")
         held = texts.join(needed.select("text_hash"), "text_hash", "left_semi").mapInArrow(_setter(size), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
         sets = materialise(needed.join(held, "text_hash").select("fp", "shingles"), "shingles")
         full = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
@@ -448,12 +497,12 @@ def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, simi
     parts = F.coalesce("parts", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     every = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
-    blocks = rows.join(large, "h", "left").select("h", F.explode(every).alias("x"), "fp", "n", "bits").select("h", "x.p", "x.q", "fp", "n", "bits")
+    blocks = rows.join(large, "h", "left").select("h", F.explode(every).alias("x"), "fp", "n", "bits", "more").select("h", "x.p", "x.q", "fp", "n", "bits", "more")
     by = ["h", "p", "q"]
     met = materialise(blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(similarity), PAIRS), "stars")
     first = verified(met.where("h is null").select("a", "b"))
     so_far = components(first).withColumnRenamed("node", "fp")
-    still = met.where("h is not null").select(*by, F.col("a").alias("fp"), "n", F.col("b").alias("bits")).join(so_far, "fp", "left").select(*by, "fp", "n", "bits", F.coalesce("root", "fp").alias("c"))
+    still = met.where("h is not null").select(*by, F.col("a").alias("fp"), "n", F.col("b").alias("bits"), F.col("c").alias("more")).join(so_far, "fp", "left").select(*by, "fp", "n", F.coalesce("root", "fp").alias("c"), "bits", "more")
     second = verified(still.repartition(*by).sortWithinPartitions(*by).mapInArrow(_across(similarity), PAIRS).select("a", "b"))
     return first.unionByName(second)
 
