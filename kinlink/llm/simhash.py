@@ -15,11 +15,13 @@ Components are found by large-star and small-star rounds over the edges, with mi
 
 With a `similarity`, as the corpus pipeline asks for, texts are linked by the exact Jaccard similarity of their sets of
 shingles instead. Sets 0.8 alike differ in about 19 of 128 bits, give or take 4, so the radius is `WIDE` (40) bits; no
-index of such a radius prunes by itself, so fingerprints are compared among texts that share a key, and exact similarity
-verifies what passes, after one look at sketches of 256 bytes. A text's keys are the first of its shingles in one order of all, those that a sample holds often
-last and the rest by hash. Two sets so alike share one of their first n - ceil(similarity * n) + 1; a text of more
-takes as many that the chance of no common key is below `MISS` (1e-10) a pair, in most texts 17. Sets that are equal
-are one node. Pairs around one pivot a block are verified first; then only pairs across the components so far.
+index of such a radius prunes by itself, so fingerprints are compared among texts that share a key. A text's keys are
+the first of its shingles in one order of all, those that a sample holds often last and the rest by hash. Two sets so
+alike share one of their first n - ceil(similarity * n) + 1; a text of more takes as many that the chance of no common
+key is below `MISS` (1e-10) a pair, in most texts 17. Sets that are equal are one node. Texts that share a key and are
+within the radius, directly or through others, are a cluster; a cluster's sets meet in one task, or where it is large
+every two of its parts do, and are compared exactly there. A task sends a spanning forest of its links, so what leaves
+it grows with the texts and not with their pairs.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other. A text shorter than a shingle is
 one shingle. Repeated rows stay rows, with one component. A null doc_id is no component's name unless the whole
@@ -40,7 +42,7 @@ from kinlink.llm.common import columns_of, materialise, named, no_clash, ship, s
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
 SEGMENTS, RADIUS = len(WIDTHS), 4
-WIDE, MISS, SKETCH = 40, 1e-10, 256
+WIDE, MISS = 40, 1e-10
 
 
 def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -289,28 +291,6 @@ def bits_of(hashes: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def sketch_of(own: np.ndarray) -> bytes:
-    """A byte for each 256th of the hashes' range, 0 where it has none: one permutation hashing of a sorted set."""
-    begin = np.append(np.searchsorted(own, np.arange(SKETCH, dtype=np.uint64) << np.uint64(56)), len(own))
-    some = begin[:-1] < begin[1:]
-    out = np.zeros(SKETCH, np.uint8)
-    out[some] = 1 + (own[begin[:-1][some]] >> np.uint64(20)) % np.uint64(255)
-    return out.tobytes()
-
-
-def _sketches_pass(similarity: float):
-    """Pairs (a, b) whose sketches agree as often as six deviations below what is expected of sets so alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
-            some, equal = ((x > 0) | (y > 0)).sum(1), ((x == y) & (x > 0)).sum(1)
-            keep = pa.array(equal >= similarity * some - 6 * np.sqrt(similarity * (1 - similarity) * some))
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
-
-    return run
-
-
 def n_keys(n: int, rare: int, similarity: float) -> int:
     """How many keys a set of n shingles needs, rare of them not known to be frequent.
 
@@ -328,7 +308,7 @@ def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            node, n, bits, sketch, keys = [], [], [], [], []
+            node, n, bits, keys = [], [], [], []
             for t in b.column(1):
                 own = shingle_set(t.as_py(), size)
                 rank = np.zeros(len(own), np.int64)
@@ -339,10 +319,9 @@ def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
                 node.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
                 n.append(len(own))
                 bits.append(bits_of(own))
-                sketch.append(sketch_of(own))
                 keys.append(own[np.argsort(rank, kind="stable")][:first].view(np.int64))
-            made = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), *(pa.array([x[k] for x in bits], pa.int64()) for k in (0, 1)), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["doc_id", "text_hash", "fp", "n", "bits", "more", "sketch", "keys"])
+            made = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), *(pa.array([x[k] for x in bits], pa.int64()) for k in (0, 1)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["doc_id", "text_hash", "fp", "n", "bits", "more", "keys"])
 
     return run
 
@@ -356,11 +335,8 @@ def _setter(size: int):
     return run
 
 
-PAIRS = "a long, b long, c long, h long, p int, q int, n int"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[tuple[int, int, int], list[np.ndarray]]]:
-    """(h, p, q) and the other columns of each block of rows that come sorted by block; a block's rows may span batches."""
+def _blocks(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[list[np.ndarray]]:
+    """The columns behind the first three of each block of rows that come sorted by these; a block's rows may span batches."""
     held, block = [], None
     for b in batches:
         if not b.num_rows:
@@ -370,90 +346,82 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple
         for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(h)]):
             this = (int(h[lo]), int(p[lo]), int(q[lo]))
             if this != block:
-                if block is not None:
-                    yield block, [np.concatenate(x) for x in zip(*held)]
+                if held:
+                    yield [np.concatenate(x) for x in zip(*held)]
                 held, block = [], this
             held.append(tuple(x[lo:hi].copy() for x in own))
-    if block is not None:
-        yield block, [np.concatenate(x) for x in zip(*held)]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _sent(rows: Iterator[tuple[np.ndarray, ...]], at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Batches of PAIRS from tuples of columns, of which those behind a and b may be missing."""
+def _edges(found: Iterator[tuple[np.ndarray, np.ndarray]], at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     out, waiting = [], 0
 
     def batch() -> pa.RecordBatch:
-        types = [pa.int64()] * 4 + [pa.int32()] * 3
-        columns = [pa.concat_arrays([pa.array(r[k], t) if k < len(r) else pa.nulls(len(r[0]), t) for r in out] or [pa.array([], t)]) for k, t in enumerate(types)]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PAIRS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]) if out else [], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    for r in rows:
-        out.append(r)
-        waiting += len(r[0])
+    for pair in found:
+        out.append(pair)
+        waiting += len(pair[0])
         if waiting > at_once:
             yield batch()
             out, waiting = [], 0
     yield batch()
 
 
-def _near(bits: np.ndarray, i: int, until: int) -> np.ndarray:
-    """Which of the fingerprints i + 1 to until are within WIDE bits of the i-th; a row is one of 128 bits."""
-    return np.bitwise_count(bits[i + 1 : until] ^ bits[i]).sum(1) <= WIDE
-
-
-def _centre(bits: np.ndarray) -> np.ndarray:
-    """The fingerprint of which each bit is what most have."""
-    ones = np.unpackbits(bits.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(bits)).view(np.uint64)
-
+def _spanned(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, check=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest, as pairs (a, b), of the sets whose sizes and fingerprints, and check(i, others), let them pass. Rows come in rising order of n."""
+    of, most = np.arange(len(fp)), np.searchsorted(n, n / similarity + 1e-9, side="right")
+    for i in range(len(fp) - 1):
+        other = np.flatnonzero(of[i + 1 : most[i]] != of[i]) + i + 1
+        if not len(other):
+            if (of == of[0]).all():
+                return
+            continue
+        other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= WIDE]
+        if check is not None and len(other):
+            other = other[check(i, other)]
+        if len(other):
+            reached, first = np.unique(of[other], return_index=True)
+            yield np.full(len(first), fp[i]), fp[other[first]]
+            of[np.isin(of, reached)] = of[i]
 
-def _stars(similarity: float):
-    """Of each block the pairs around pivots that sizes and fingerprints let pass; and its rows, if others pass too.
 
-    A pivot is what lies nearest to the middle of those not yet paired: among the copies of one text the text itself."""
+def _clusterer(similarity: float):
+    """Of each block of texts with a common key a forest of those that may be alike."""
 
-    def of(block: tuple[int, int, int], fp: np.ndarray, n: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def of(fp: np.ndarray, n: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.lexsort((fp, n))
-        fp, n, bits = fp[order], n[order], np.stack(bits, 1)[order].view(np.uint64)
-        left, told = np.arange(len(fp)), 0
-        while len(left) > 1:
-            at = 0 if len(left) == 2 else int(np.bitwise_count(bits[left] ^ _centre(bits[left])).sum(1).argmin())
-            pivot, rest = left[at], np.delete(left, at)
-            alike = (np.bitwise_count(bits[rest] ^ bits[pivot]).sum(1) <= WIDE) & (np.minimum(n[rest], n[pivot]) >= similarity * np.maximum(n[rest], n[pivot]) - 1e-9)
-            if alike.any():
-                yield np.minimum(fp[rest[alike]], fp[pivot]), np.maximum(fp[rest[alike]], fp[pivot])
-                told += int(alike.sum())
-            left = rest[~alike]
-        most = np.searchsorted(n, n / similarity + 1e-9, side="right")
-        for i in range(len(fp) - 1):
-            told -= int(_near(bits, i, most[i]).sum())
-            if told < 0:
-                yield fp, *bits.view(np.int64).T, *(np.full(len(fp), x) for x in block), n
-                return
+        yield from _spanned(fp[order], n[order], np.stack(bits, 1)[order].view(np.uint64), similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sent(x for block, columns in _blocks(batches, 4) if len(columns[0]) > 1 for x in of(block, *columns))
+        yield from _edges(x for columns in _blocks(batches, 4) if len(columns[0]) > 1 for x in of(*columns))
 
     return run
 
 
-def _across(similarity: float):
-    """Of each block all pairs across components that sizes and fingerprints let pass."""
+def _comparer(similarity: float):
+    """Of each cluster, or two parts of it, a forest of the sets that are alike, by their exact similarity."""
 
-    def of(fp: np.ndarray, n: np.ndarray, c: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        if (c == c[0]).all():
-            return
+    def of(fp: np.ndarray, sets: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = np.array(list(map(len, sets)), np.int64)
         order = np.lexsort((fp, n))
-        fp, n, c, bits = fp[order], n[order], c[order], np.stack(bits, 1)[order].view(np.uint64)
-        most = np.searchsorted(n, n / similarity + 1e-9, side="right")
-        for i in range(len(fp) - 1):
-            near = _near(bits, i, most[i]) & (c[i + 1 : most[i]] != c[i])
-            if near.any():
-                other = fp[i + 1 : most[i]][near]
-                yield np.minimum(other, fp[i]), np.maximum(other, fp[i])
+        fp, n, bits = fp[order], n[order], np.stack(bits, 1)[order].view(np.uint64)
+        ends = np.cumsum(n)
+        values, numbers = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+        mark = np.zeros(len(values), np.int32)
+
+        def alike(i: int, others: np.ndarray) -> np.ndarray:
+            mine = numbers[ends[i] - n[i] : ends[i]]
+            mark[mine] = 1
+            both = np.array([mark[numbers[ends[j] - n[j] : ends[j]]].sum() for j in others])
+            mark[mine] = 0
+            return both / (n[i] + n[others] - both) >= similarity
+
+        yield from _spanned(fp, n, bits, similarity, alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sent(x for _, columns in _blocks(batches, 5) for x in of(*columns))
+        yield from _edges(x for columns in _blocks(batches, 4) if len(columns[0]) > 1 for x in of(*columns))
 
     return run
 
@@ -467,44 +435,33 @@ def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity:
     top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).toArrow()  # bounded
     known, often = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(known)
-    return own.mapInArrow(_keyer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, bits long, more long, sketch binary, keys array<long>")
-
-
-def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, similarity: float, part_rows: int = 1 << 16) -> DataFrame:
-    """Edges (a, b) between the sets of similar_sets that connect all that are at least so alike; every edge is such a pair."""
-    nodes = materialise(fps.dropDuplicates(["fp"]).select("fp", "text_hash", "n", "bits", "more", "sketch", "keys"), "sets")
-    rows = nodes.select(F.explode("keys").alias("h"), "fp", "n", "bits", "more")
-    large = rows.groupBy("h").count().where(F.col("count") > part_rows).select("h", F.ceil(F.col("count") * 2 / part_rows).cast("int").alias("parts"))
-    large = materialise(large, "large")  # a row for part_rows rows at most
-    texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(_keyer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, bits long, more long, keys array<long>")
 
-    def members(pairs: DataFrame, what: str) -> DataFrame:
-        named_in = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "named")
-        return materialise(nodes.select("fp", what).join(named_in, "fp"), "members")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.distinct(), "pairs")
-        drawn = members(pairs, "sketch")
-        drawn = pairs.join(drawn.select(F.col("fp").alias("a"), F.col("sketch").alias("s")), "a").join(drawn.select(F.col("fp").alias("b"), F.col("sketch").alias("t")), "b")
-        pairs = materialise(drawn.select("a", "b", "s", "t").mapInArrow(_sketches_pass(similarity), "a long, b long"), "passing")
-        needed = members(pairs, "text_hash")
-        held = texts.join(needed.select("text_hash"), "text_hash", "left_semi").mapInArrow(_setter(size), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
-        sets = materialise(needed.join(held, "text_hash").select("fp", "shingles"), "shingles")
-        full = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
-        both = F.size(F.array_intersect("s", "t"))
-        return materialise(full.where(both / (F.size("s") + F.size("t") - both) >= similarity).select("a", "b"), "alike")
 
+def _in_parts(rows: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
+    """rows with p and q: keys with more than most rows are dealt in parts, of which every two meet."""
+    large = counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") * 2 / most).cast("int").alias("parts"))
+    large = materialise(large, "large")  # a row for every most rows at most
     parts = F.coalesce("parts", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     every = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
-    blocks = rows.join(large, "h", "left").select("h", F.explode(every).alias("x"), "fp", "n", "bits", "more").select("h", "x.p", "x.q", "fp", "n", "bits", "more")
-    by = ["h", "p", "q"]
-    met = materialise(blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(similarity), PAIRS), "stars")
-    first = verified(met.where("h is null").select("a", "b"))
-    so_far = components(first).withColumnRenamed("node", "fp")
-    still = met.where("h is not null").select(*by, F.col("a").alias("fp"), "n", F.col("b").alias("bits"), F.col("c").alias("more")).join(so_far, "fp", "left").select(*by, "fp", "n", F.coalesce("root", "fp").alias("c"), "bits", "more")
-    second = verified(still.repartition(*by).sortWithinPartitions(*by).mapInArrow(_across(similarity), PAIRS).select("a", "b"))
-    return first.unionByName(second)
+    dealt = rows.join(large, key, "left").withColumn("_x", F.explode(every))
+    by = [key, "p", "q"]
+    return dealt.select(key, "_x.p", "_x.q", *(c for c in rows.columns if c != key)).repartition(*by).sortWithinPartitions(*by)
+
+
+def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, similarity: float, part_rows: int = 1 << 16, part_sets: int = 1 << 12) -> DataFrame:
+    """Edges (a, b) between the sets of similar_sets that connect all that are at least so alike; every edge is such a pair."""
+    nodes = materialise(fps.dropDuplicates(["fp"]).select("fp", "text_hash", "n", "bits", "more", "keys"), "sets")
+    rows = nodes.select(F.explode("keys").alias("h"), "fp", "n", "bits", "more")
+    maybe = _in_parts(rows, rows.groupBy("h").count(), "h", part_rows).mapInArrow(_clusterer(similarity), "a long, b long")
+    linked = components(maybe)  # a root is no node there
+    clusters = linked.select(F.col("node").alias("fp"), F.col("root").alias("cluster")).unionByName(linked.select(F.col("root").alias("fp"), F.col("root").alias("cluster")).distinct())
+    members = materialise(nodes.select("fp", "text_hash", "bits", "more").join(clusters, "fp"), "members")
+    texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+    sets = texts.join(members.select("text_hash"), "text_hash", "left_semi").mapInArrow(_setter(size), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
+    rows = sets.join(members, "text_hash").select("cluster", "fp", "shingles", "bits", "more")
+    return _in_parts(rows, members.groupBy("cluster").count(), "cluster", part_sets).mapInArrow(_comparer(similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, similarity: float | None = None, part_rows: int = 1 << 16) -> DataFrame:
