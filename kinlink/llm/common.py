@@ -109,3 +109,42 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, *, by: str, n: str) -
     dealt = many.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     every = one.drop(n).join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(every, [key, "_part"]).drop("_part")
+
+
+FILTER_HASHES, BITS_EACH, FEWEST_BITS, MOST_BITS = 4, 64, 1 << 18, 1 << 27  # a filter has at most 16 MB
+
+
+class Sieve:
+    """A Bloom filter of 64-bit hashes, the column h of a table: a constant that goes with the tasks.
+
+    Its size follows their number n up to MOST_BITS; beyond, it lets more through, and what it lets through is always
+    told apart exactly afterwards."""
+
+    def __init__(self, hashes: DataFrame, n: int):
+        self.bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * n).bit_length()))
+        places = hashes.select(F.explode(F.array(*self._places(F.col("h")))).alias("b"))
+        made = places.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
+        every = hashes.sparkSession.range(self.bits // 64).select(F.col("id").cast("int").alias("i")).join(made, "i", "left").select("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+        listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"].cast("string")), ",")).first()[0]
+        self.table = F.split(F.lit(listed), ",").cast("array<bigint>")  # folded to a literal, where a list of literals would take an expression a long
+
+    def _places(self, h: Column) -> list[Column]:
+        return [F.shiftrightunsigned(h, 12 * k).bitwiseAND(F.lit(self.bits - 1)).cast("int") for k in range(FILTER_HASHES)]
+
+    def may_hold(self, h: Column) -> Column:
+        out = None
+        for b in self._places(h):
+            hit = F.getbit(F.get(self.table, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
+            out = hit if out is None else out & hit
+        return out
+
+
+def only_in(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows of many whose key is in few, a written table: a filter sifts them, so that little else is moved."""
+    return many.where(Sieve(few.select(F.xxhash64(key).alias("h")), few.count()).may_hold(F.xxhash64(key))).join(few.select(key), key, "left_semi")
+
+
+def not_in(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows of many whose key is not in few, a written table: those that a filter refuses stay where they are."""
+    may = Sieve(few.select(F.xxhash64(key).alias("h")), few.count()).may_hold(F.xxhash64(key))
+    return many.where(~may).unionByName(many.where(may).join(few.select(key), key, "left_anti"))

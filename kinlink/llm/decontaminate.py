@@ -37,12 +37,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import columns_of, materialise, named, no_clash, table
+from kinlink.llm.common import Sieve, columns_of, materialise, named, no_clash, not_in, table
 
 SIZE, SIMILARITY = 5, 0.8
 LONGS, BLOCKS, BLOCK_BITS, RADIUS = 4, 5, 12, 59  # BLOCKS a long
 NEAR = RADIUS // (LONGS * BLOCKS)
-BITS_EACH, FEWEST_BITS, MOST_BITS, FILTER_HASHES = 64, 1 << 18, 1 << 27, 4  # the filter has at most 16 MB
 MOST_BROADCAST = 8 << 20  # bytes
 SPREAD = 16
 BLANK = r"[\x20\x09-\x0D]+"
@@ -116,29 +115,6 @@ def item_features(items: DataFrame, key: str, text: str, size: int) -> DataFrame
     return own.select("item_id", F.xxhash64("n_words", "hashes").alias("item"), "n_words", "size", "hashes").withColumn("features", features("hashes"))
 
 
-def _places(h: Column, bits: int) -> list[Column]:
-    """The filter's places for a hash."""
-    return [F.shiftrightunsigned(h, 12 * k).bitwiseAND(F.lit(bits - 1)).cast("int") for k in range(FILTER_HASHES)]
-
-
-def bloom(hashes: DataFrame, bits: int) -> Column:
-    """The filter's longs, of a column h, as a constant that goes with the tasks: at most MOST_BITS, however many there are."""
-    n = bits // 64
-    places = hashes.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("b"))
-    made = places.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
-    every = hashes.sparkSession.range(n).select(F.col("id").cast("int").alias("i")).join(made, "i", "left").select("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
-    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"].cast("string")), ",")).first()[0]
-    return F.split(F.lit(listed), ",").cast("array<bigint>")  # folded to a literal, where a list of literals would take an expression a long
-
-
-def _may_hold(sieve: Column, h: Column, bits: int) -> Column:
-    out = None
-    for b in _places(h, bits):
-        hit = F.getbit(F.get(sieve, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
-        out = hit if out is None else out & hit
-    return out
-
-
 def _block(fp: str) -> str:
     return f"CAST(shiftrightunsigned({fp}[CAST(b DIV {BLOCKS} AS INT)], {BLOCK_BITS} * (b % {BLOCKS})) & {(1 << BLOCK_BITS) - 1} AS INT)"
 
@@ -191,11 +167,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     placed = unique.select("item", "n_words", "size", F.explode("hashes").alias("h")).groupBy("item", "n_words", "size", "h").agg(F.count("*").cast("int").alias("c"))
     n_placed = placed.count()
     sizes = [r[0] for r in own_items.select("size").distinct().orderBy(F.desc("size")).collect()] or [size]  # at most size rows
-    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * n_placed).bit_length()))
-    sieve = bloom(placed.select("h"), bits)
+    sieve = Sieve(placed.select("h"), n_placed)
 
     def hits(k: int) -> Column:
-        return F.filter(F.transform(F.col(f"s{k}"), lambda h, i: F.struct(i.alias("place"), h.alias("h"))), lambda x: _may_hold(sieve, x["h"], bits))
+        return F.filter(F.transform(F.col(f"s{k}"), lambda h, i: F.struct(i.alias("place"), h.alias("h"))), lambda x: sieve.may_hold(x["h"]))
 
     # the row number, not being deterministic, also keeps the optimizer from moving the words' split into what follows
     split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(named(key)).cast("long").alias("doc_id"), words(F.col(named(text)).cast("string")).alias("w"))
@@ -233,11 +208,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents, with all their columns, that leak no item; rows are told apart by id and text hash."""
-    (mark, leaking) = no_clash(docs, "mark", "leaking")
+    (mark,) = no_clash(docs, "mark")
     name = F.xxhash64(F.coalesce(F.col(named(key)).cast("long").cast("string"), F.lit("-")), F.coalesce(F.col(named(text)).cast("string"), F.lit("")))
     marked = docs.withColumn(mark, name)
-    found = leaks(marked, items, key=mark, text=text, **how).select(F.col("doc_id").alias(leaking)).distinct()
-    return marked.join(found, F.col(mark) == F.col(leaking), "left_anti").select(*columns_of(docs))
+    found = materialise(leaks(marked, items, key=mark, text=text, **how).select(F.col("doc_id").alias(mark)).distinct(), "leaking")
+    return not_in(marked, found, mark).select(*columns_of(docs))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import columns_of, materialise, named, no_clash, ship, spread_join, table
+from kinlink.llm.common import columns_of, materialise, named, no_clash, not_in, only_in, ship, spread_join, table
 
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
@@ -260,13 +260,10 @@ class Hashes(dict):
         return out
 
 
-_hashes = Hashes()
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int, known: Hashes) -> np.ndarray:
     """The distinct hashes of a text's shingles, ASCII letters lowered, in order; a text shorter than a shingle is one."""
     words = (text or "").encode().lower().split()
-    w = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
+    w = np.array(list(map(known.__getitem__, words)), np.uint64)
     size = min(size, len(w))
     if not size:
         return w
@@ -307,10 +304,11 @@ def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        hashes = Hashes()
         for b in batches:
             node, n, bits, keys = [], [], [], []
             for t in b.column(1):
-                own = shingle_set(t.as_py(), size)
+                own = shingle_set(t.as_py(), size, hashes)
                 rank = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -328,8 +326,9 @@ def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
 
 def _setter(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for b in batches:
-            sets = pa.array([shingle_set(t.as_py(), size).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            sets = pa.array([shingle_set(t.as_py(), size, hashes).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sets], ["text_hash", "shingles"])
 
     return run
@@ -459,7 +458,7 @@ def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, simi
     clusters = linked.select(F.col("node").alias("fp"), F.col("root").alias("cluster")).unionByName(linked.select(F.col("root").alias("fp"), F.col("root").alias("cluster")).distinct())
     members = materialise(nodes.select("fp", "text_hash", "bits", "more").join(clusters, "fp"), "members")
     texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
-    sets = texts.join(members.select("text_hash"), "text_hash", "left_semi").mapInArrow(_setter(size), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
+    sets = only_in(texts, members, "text_hash").mapInArrow(_setter(size), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
     rows = sets.join(members, "text_hash").select("cluster", "fp", "shingles", "bits", "more")
     return _in_parts(rows, members.groupBy("cluster").count(), "cluster", part_sets).mapInArrow(_comparer(similarity), "a long, b long")
 
@@ -498,11 +497,13 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how)
     first = materialise(rows.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("n_rows")).where("n_rows > 1"), "firsts")
     grouped = spread_join(rows, first, "root", by="row", n="n_rows").where(~F.col("row").eqNullSafe(F.col("first")))
     gone = grouped.select(name(F.col("row.doc_id"), F.col("row.text_hash")).alias(mark))
-    repeated = materialise(rows.where("n > 1").select(name(F.col("row.doc_id"), F.col("row.text_hash")).alias(mark)), "repeated")
-    gone = materialise(gone, "gone")
+    lost = materialise(gone, "lost")
+    repeated = rows.where("n > 1").select(name(F.col("row.doc_id"), F.col("row.text_hash")).alias(mark))
+    repeated = materialise(repeated.join(lost, mark, "left_anti"), "repeated")
+    gone = materialise(lost.unionByName(repeated), "gone")
     marked = docs.select(name(F.col(named(key)).cast("long"), F.xxhash64(F.col(named(text)).cast("string"))).alias(mark), F.struct(*columns_of(docs)).alias("row"))
-    once = marked.join(gone.unionByName(repeated), mark, "left_anti").select("row")
-    several = marked.join(repeated.join(gone, mark, "left_anti"), mark, "left_semi").groupBy(mark).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    once = not_in(marked, gone, mark).select("row")
+    several = only_in(marked, repeated, mark).groupBy(mark).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return once.unionByName(several).select("row.*")
 
 
