@@ -111,7 +111,7 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, *, by: str, n: str) -
     return dealt.join(every, [key, "_part"]).drop("_part")
 
 
-FILTER_HASHES, BITS_EACH, FEWEST_BITS, MOST_BITS = 4, 64, 1 << 18, 1 << 27  # a filter has at most 16 MB
+FILTER_HASHES, BITS_EACH, FEWEST_BITS, MOST_BITS = 4, 64, 1 << 18, 1 << 24  # a filter has at most 2 MB
 
 
 class Sieve:
@@ -139,12 +139,16 @@ class Sieve:
         return out
 
 
-def only_in(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """The rows of many whose key is in few, a written table: a filter sifts them, so that little else is moved."""
-    return many.where(Sieve(few.select(F.xxhash64(key).alias("h")), few.count()).may_hold(F.xxhash64(key))).join(few.select(key), key, "left_semi")
+def _small(few: DataFrame, most_bytes: int) -> DataFrame:
+    """few, a written table of keys, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(few) if few.count() * 64 <= most_bytes else few
 
 
-def not_in(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """The rows of many whose key is not in few, a written table: those that a filter refuses stay where they are."""
-    may = Sieve(few.select(F.xxhash64(key).alias("h")), few.count()).may_hold(F.xxhash64(key))
-    return many.where(~may).unionByName(many.where(may).join(few.select(key), key, "left_anti"))
+def only_in(many: DataFrame, few: DataFrame, key: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of many whose key is in few; they are not moved while the keys are few."""
+    return many.join(_small(few.select(key), most_bytes), key, "left_semi")
+
+
+def not_in(many: DataFrame, few: DataFrame, key: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of many whose key is not in few; they are not moved while the keys are few."""
+    return many.join(_small(few.select(key), most_bytes), key, "left_anti")
