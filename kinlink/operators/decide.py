@@ -63,22 +63,26 @@ def macro_f05(entities: DataFrame, predicted: DataFrame, gold: DataFrame) -> Dat
 
 
 def threshold_grid(scored: DataFrame, entities: DataFrame, gold: DataFrame, grid: list[tuple[float, float]] | None = None, p: str = "p") -> DataFrame:
-    """pos, t_top, t_rest, f05 of every setting, in one job: each pair is counted for the settings that keep it, the grid being a literal array."""
+    """pos, t_top, t_rest, f05 of every setting, in one job: an entity's pairs are counted above each threshold, and the settings are sums over entities."""
     if grid is None:
         grid = [(t, t) for t in single_grid()] + pair_grid()
     order = Window.partitionBy("s1_id").orderBy(F.col(p).desc(), "cand_pos")
-    settings = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(a).alias("t_top"), F.lit(b).alias("t_rest")) for i, (a, b) in enumerate(grid)))
-    kept = F.filter(settings, lambda s: ((F.col("_n") == 1) & (F.col(p) >= s["t_top"])) | (F.col(p) >= s["t_rest"]))
     of_gold = gold.select("s1_id", "cand_id").distinct().withColumn("_y", F.lit(1))
-    ranked = scored.select("s1_id", "cand_id", p, F.row_number().over(order).alias("_n")).join(of_gold, ["s1_id", "cand_id"], "left")
-    counts = ranked.select("s1_id", "_y", F.explode(F.transform(kept, lambda s: s["pos"])).alias("pos")).groupBy("s1_id", "pos").agg(F.count("*").alias("n_pred"), F.count("_y").alias("hits"))
-    n_gold = entities.select("s1_id").join(of_gold.groupBy("s1_id").agg(F.count("*").alias("n_gold")), "s1_id", "left").fillna(0, ["n_gold"])
-    # an entity of which a setting keeps nothing scores 1 if its gold is empty, else 0: only the others are met one by one
-    met = counts.join(n_gold, "s1_id").groupBy("pos").agg(F.sum(f05(F.col("hits"), F.col("n_pred"), F.col("n_gold"))).alias("s"), F.count_if(F.col("n_gold") == 0).alias("empty"))
-    total = n_gold.agg(F.count("*").alias("n"), F.count_if(F.col("n_gold") == 0).alias("none"))
-    rows = scored.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(grid)], "pos int, t_top double, t_rest double")
-    joined = rows.join(met, "pos", "left").fillna(0, ["s", "empty"]).join(F.broadcast(total))  # one row beside a grid of fixed size
-    return joined.select("pos", "t_top", "t_rest", ((F.col("s") + F.col("none") - F.col("empty")) / F.col("n")).alias("f05"))
+    ranked = scored.select("s1_id", "cand_id", F.col(p).alias("_p"), F.row_number().over(order).alias("_n")).join(of_gold, ["s1_id", "cand_id"], "left")
+    rests = {t: i for i, t in enumerate(sorted({b for _, b in grid}))}
+    first = F.col("_n") == 1
+    above = [f(F.col("_p") >= t) for t, i in rests.items() for f in (lambda c, i=i: F.count_if(c).alias(f"n{i}"), lambda c, i=i: F.count_if(c & F.col("_y").isNotNull()).alias(f"h{i}"))]
+    counts = ranked.groupBy("s1_id").agg(F.max(F.when(first, F.col("_p"))).alias("_best"), F.max(F.when(first, F.col("_y"))).alias("_hit"), *above)
+    n_gold = entities.select("s1_id").join(of_gold.groupBy("s1_id").agg(F.count("*").alias("n_gold")), "s1_id", "left")
+    full = n_gold.join(counts, "s1_id", "left").fillna(0)
+
+    def mean(top: float, rest: float) -> Column:
+        more = ((F.col("_best") >= top) & (F.col("_best") < rest)).cast("int")
+        return F.avg(f05(F.col(f"h{rests[rest]}") + more * F.col("_hit"), F.col(f"n{rests[rest]}") + more, F.col("n_gold")))
+
+    one = full.agg(*(mean(a, b).alias(f"f{i}") for i, (a, b) in enumerate(grid)))
+    rows = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(float(a)).alias("t_top"), F.lit(float(b)).alias("t_rest"), F.col(f"f{i}").alias("f05")) for i, (a, b) in enumerate(grid)))
+    return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def best_setting(grid: DataFrame) -> tuple[float, float, float]:

@@ -15,15 +15,17 @@ from kinlink.functions import text
 from kinlink.functions.lexicon import ADDR_STOP
 from kinlink.operators import blocking, decide, evaluate, model, similarity, validate
 from kinlink.plans.sql import KEYS, RECORDS_SPARK, query
+from kinlink.sources import files
 
 CONFIG = Config()
 T_TOP, T_REST = 0.5, 0.7
 
 
 class Derived:
-    """The tables of matching, from the documents of a folder; each is a plan, nothing is run."""
+    """The tables of matching, from the documents of a folder; each is a plan, and nothing is run but by keep()."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self._pre: DataFrame | None = None
         self.docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
         self.records = spark.sql(RECORDS_SPARK, documents=self.docs)
         self.prepared = blocking.prepare(self.records)
@@ -47,9 +49,14 @@ class Derived:
     def index(self) -> DataFrame:
         return blocking.build_index(self.keys(False), CONFIG)
 
+    def keep(self) -> Derived:
+        """Writes the candidate pairs, for plans that read them in several branches."""
+        self._pre = files.written(self.pre)
+        return self
+
     @property
     def pre(self) -> DataFrame:
-        return blocking.candidate_pairs(self.keys(True), self.index, CONFIG)
+        return self._pre or blocking.candidate_pairs(self.keys(True), self.index, CONFIG)
 
     @property
     def scored(self) -> DataFrame:
@@ -82,20 +89,38 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _validated(d: Derived) -> DataFrame:
-    return validate.violations(_lines(d, d.scored, "candidate_entity_ids"), _lines(d, d.matched, "matched_entity_ids"))
+    """Violations of the result files with faults of every kind put into some lines, by the entity's number."""
+    d.keep()
+    kind = (F.col("n") - 1) % 100
+    c, m = _lines(d, d.scored, "candidate_entity_ids"), _lines(d, d.matched, "matched_entity_ids")
+    body = F.col("n") > 0
+
+    def put(lines: DataFrame, faults: dict[int, Column]) -> DataFrame:
+        line = F
+        for k, wrong in faults.items():
+            line = line.when(body & (kind == k), wrong)
+        return lines.withColumn("line", line.otherwise(F.col("line")))
+
+    line = F.col("line")
+    both = {17: F.concat(F.lit("X"), line), 41: F.regexp_replace(line, "^S1-[0-9]+", "S1-1")}
+    c = put(c, both | {7: F.concat(line, F.lit("\tx")), 23: F.concat(line, F.lit(",,S9-1"))}).where(~body | (kind != 37))
+    m = put(m, both | {13: F.concat(F.lit("S1-0"), line), 29: F.concat(line, F.lit(",")), 31: F.concat(line, F.lit(",S2-1"))})
+    return validate.violations(c, m.withColumn("line", F.when(body, line).otherwise("wrong")))
 
 
 def _totals(d: Derived) -> DataFrame:
+    d.keep()
     return validate.statistics(_lines(d, d.scored, "candidate_entity_ids"), _lines(d, d.matched, "matched_entity_ids"))
 
 
 def _sizes(d: Derived) -> DataFrame:
+    d.keep()
     return validate.histogram(_lines(d, d.scored, "candidate_entity_ids"), _lines(d, d.matched, "matched_entity_ids"), "hits")
 
 
 def _numbers(d: Derived) -> DataFrame:
     a = text.words(F.col("addr_n"))
-    return d.prepared.select("entity_id", F.array_join(text.digit_runs(F.col("addr_n")), " ").alias("runs"), F.array_join(text.number_tokens(a), " ").alias("numbers"))
+    return d.prepared.select("entity_id", F.array_join(F.array_sort(text.digit_runs(F.col("addr_n"))), " ").alias("runs"), F.array_join(text.number_tokens(a), " ").alias("numbers"))
 
 
 TOKEN_FEATURES = (
@@ -111,7 +136,7 @@ def _tokens(d: Derived) -> DataFrame:
 
 def _gbm(d: Derived) -> DataFrame:
     """A short first stage: trained on four fifths of the entities, scoring all pairs."""
-    labelled = similarity.label(similarity.pair_features(d.ranked), d.gold).persist()
+    labelled = files.written(similarity.label(similarity.pair_features(d.ranked), d.gold))
     held = model.bucket(F.col("s1_id"), 5) == 0
     return model.score(model.fit_stage1(labelled.where(~held), CONFIG, trees=5), labelled, "prob").select("s1_id", "cand_id", "cand_pos", "y", "prob")
 
@@ -142,12 +167,12 @@ PLANS: dict[str, Callable[[Derived], DataFrame]] = {
     "entity_f05": lambda d: _rounded(decide.entity_f05(d.entities, d.matched, d.gold)),
     "threshold_grid": lambda d: _rounded(decide.threshold_grid(d.scored, d.entities, d.gold)),
     "all_empty_floor": lambda d: _rounded(evaluate.all_empty_floor(d.entities, d.gold)),
-    "f05_ceiling": lambda d: _rounded(evaluate.f05_ceiling(d.scored, d.entities, d.gold)),
-    "blocking_recall": lambda d: _rounded(evaluate.blocking_recall(d.scored, d.entities, d.gold)),
+    "f05_ceiling": lambda d: _rounded(evaluate.f05_ceiling(d.keep().scored, d.entities, d.gold)),
+    "blocking_recall": lambda d: _rounded(evaluate.blocking_recall(d.keep().scored, d.entities, d.gold)),
     "miss_classes": lambda d: evaluate.miss_classes(d.gold, d.keys(True), d.keys(False), d.scored, CONFIG),
-    "pruning_curve": lambda d: _rounded(evaluate.pruning_curve(d.scored, d.entities, d.gold, CONFIG)),
+    "pruning_curve": lambda d: _rounded(evaluate.pruning_curve(d.keep().scored, d.entities, d.gold, CONFIG)),
     "country_counts": lambda d: evaluate.country_counts(d.prepared),
-    "claim_counts": lambda d: evaluate.claim_counts(d.scored, d.owned, d.entities),
+    "claim_counts": lambda d: evaluate.claim_counts(d.keep().scored, d.owned, d.entities),
     "validated_lists": _validated,
     "list_statistics": _totals,
     "list_histogram": _sizes,
@@ -221,14 +246,24 @@ FROM gold g LEFT JOIN scored s ON s.s1_id = g.s1_id AND s.cand_id = g.cand_id LE
 FROM scored s JOIN (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.15, 0.2]) AS tau) ON p >= tau LEFT JOIN gold g ON g.s1_id = s.s1_id AND g.cand_id = s.cand_id GROUP BY 1""",
     "country_counts": "SELECT country_n, count(*) AS n FROM prepared GROUP BY 1",
     "claim_counts": "SELECT (SELECT count(*) FROM scored) - (SELECT count(*) FROM owned) AS n_removed, (SELECT count(*) FROM entities WHERE s1_id NOT IN (SELECT s1_id FROM owned)) AS n_empty",
-    "validated_lists": """SELECT "check", CASE "check" WHEN 'subset' THEN (SELECT count(*) FROM decoded d WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.s1_id = d.s1_id AND s.cand_id = d.cand_id))
-  WHEN 'one_owner' THEN (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(DISTINCT s1_id) AS c FROM decoded GROUP BY cand_id)) WHEN 'duplicate_s1' THEN (SELECT count(*) - count(DISTINCT s1_id) FROM entities)
-  WHEN 's1_id' THEN (SELECT count(*) FROM entities WHERE NOT regexp_matches(s1_id, '^S1-[0-9]+$')) WHEN 'candidate_id' THEN (SELECT count(*) FROM scored WHERE NOT regexp_matches(cand_id, '^S[23]-[0-9]+$'))
-  WHEN 'match_id' THEN (SELECT count(*) FROM decoded WHERE NOT regexp_matches(cand_id, '^S[23]-[0-9]+$')) ELSE 0 END::BIGINT AS n
-FROM (SELECT unnest(['header', 'arity', 'alignment', 'length', 's1_id', 'candidate_id', 'match_id', 'subset', 'duplicate_s1', 'one_owner']) AS "check")""",
+    "validated_lists": """, files AS (SELECT split_part(s1_id, '-', 2)::BIGINT AS i, s1_id, coalesce(c, '') AS c, coalesce(m, '') AS m FROM entities
+  LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS c FROM scored GROUP BY 1) USING (s1_id) LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS m FROM decoded GROUP BY 1) USING (s1_id)),
+wrong AS (SELECT i, CASE i % 100 WHEN 17 THEN 'X' || s1_id WHEN 41 THEN 'S1-1' ELSE s1_id END || chr(9) || c || CASE i % 100 WHEN 7 THEN chr(9) || 'x' WHEN 23 THEN ',,S9-1' ELSE '' END AS c,
+  CASE i % 100 WHEN 17 THEN 'X' || s1_id WHEN 41 THEN 'S1-1' WHEN 13 THEN 'S1-0' || s1_id ELSE s1_id END || chr(9) || m || CASE i % 100 WHEN 29 THEN ',' WHEN 31 THEN ',S2-1' ELSE '' END AS m FROM files),
+parsed AS (SELECT i, i % 100 = 37 AS gone, string_split(c, chr(9)) AS c, string_split(m, chr(9)) AS m FROM wrong),
+good AS (SELECT i, c[1] AS s, CASE WHEN c[2] = '' THEN []::VARCHAR[] ELSE string_split(c[2], ',') END AS cs, CASE WHEN m[2] = '' THEN []::VARCHAR[] ELSE string_split(m[2], ',') END AS ms
+  FROM parsed WHERE NOT gone AND len(c) = 2 AND len(m) = 2 AND c[1] = m[1]),
+claims AS (SELECT i, s, unnest(ms) AS x FROM good)
+SELECT 'header' AS "check", 1::BIGINT AS n UNION ALL SELECT 'arity', count(*) FROM parsed WHERE NOT gone AND (len(c) <> 2 OR len(m) <> 2)
+UNION ALL SELECT 'alignment', count(*) FROM parsed WHERE NOT gone AND len(c) = 2 AND len(m) = 2 AND c[1] <> m[1] UNION ALL SELECT 'length', count(*) FROM parsed WHERE gone
+UNION ALL SELECT 's1_id', count(*) FROM good WHERE NOT regexp_full_match(s, 'S1-[0-9]+')
+UNION ALL SELECT 'candidate_id', count(*) FROM (SELECT unnest(cs) AS x FROM good) WHERE NOT regexp_full_match(x, 'S[23]-[0-9]+') UNION ALL SELECT 'match_id', count(*) FROM claims WHERE NOT regexp_full_match(x, 'S[23]-[0-9]+')
+UNION ALL SELECT 'subset', count(*) FROM claims JOIN good USING (i) WHERE NOT list_contains(cs, x) UNION ALL SELECT 'duplicate_s1', count(*) - count(DISTINCT s) FROM good
+UNION ALL SELECT 'one_owner', count(*) FROM claims JOIN (SELECT x, arg_min(s, i) AS first FROM claims GROUP BY 1) USING (x) WHERE s <> first""",
     "list_statistics": """SELECT (SELECT count(*) FROM entities) AS n_s1, (SELECT count(*) FROM scored) AS n_candidates, (SELECT count(*) FROM decoded) AS n_matches,
   (SELECT count(*) FROM entities WHERE s1_id NOT IN (SELECT s1_id FROM scored)) AS no_candidates, (SELECT count(*) FROM entities WHERE s1_id NOT IN (SELECT s1_id FROM decoded)) AS no_matches,
-  (SELECT count(*) FROM decoded WHERE left(cand_id, 2) = 'S3') AS n_s3, (SELECT count(*) FROM decoded WHERE left(cand_id, 2) = 'S2') AS n_s2, (SELECT count(DISTINCT cand_id) FROM decoded) AS n_unique""",
+  (SELECT count(*) FROM decoded WHERE left(cand_id, 2) = 'S3') AS n_s3, (SELECT count(*) FROM decoded WHERE left(cand_id, 2) = 'S2') AS n_s2,
+  (SELECT count(*) FROM scored WHERE left(cand_id, 2) = 'S2') AS n_candidates_s2, (SELECT count(*) FROM scored WHERE left(cand_id, 2) = 'S3') AS n_candidates_s3, (SELECT count(DISTINCT cand_id) FROM decoded) AS n_unique""",
     "list_histogram": """SELECT CASE WHEN c >= 10 THEN '>=10' ELSE c::VARCHAR END AS size, count(*) AS n FROM (SELECT s1_id, count(d.s1_id) AS c FROM entities LEFT JOIN decoded d USING (s1_id) GROUP BY 1) GROUP BY 1""",
 }
 

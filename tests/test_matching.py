@@ -188,6 +188,43 @@ def test_validator(spark):
     assert validate.is_valid(*ok) and validate.statistics(*ok).first().n_unique == 1
 
 
+def test_files_of_many_parts_validate(spark, tmp_path):
+    entities = spark.createDataFrame([(f"S1-{i}",) for i in range(400)], "s1_id string").repartition(7)
+    pairs = spark.createDataFrame([(f"S1-{i}", f"S{2 + i % 2}-{i}") for i in range(0, 400, 3)], "s1_id string, cand_id string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, column, of in (("m", "matched_entity_ids", pairs), ("c", "candidate_entity_ids", pairs.unionByName(pairs.selectExpr("s1_id", "'S2-999' AS cand_id")))):
+            files.write_lists(decide.match_lists(entities, of, column), str(tmp_path / name))
+            files.join_parts(spark, str(tmp_path / name), str(tmp_path / f"{name}.tsv"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "m").glob("part*"))) > 2
+    lines = (tmp_path / "m.tsv").read_text().split("\n")
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and lines[-1] == "" and [x.split("\t")[0] for x in lines[1:-1]] == [f"S1-{i}" for i in range(400)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for path in ("m", "m.tsv"):
+            got = [r.line for r in files.numbered_lines(spark, str(tmp_path / path)).orderBy("n").collect()]
+            assert got == lines[:-1] and sorted(r.n for r in files.numbered_lines(spark, str(tmp_path / path)).collect()) == list(range(401))
+        for a, b in (("c", "m"), ("c.tsv", "m.tsv"), ("c", "m.tsv")):
+            assert validate.main([str(tmp_path / a), str(tmp_path / b)]) == 0
+        assert validate.main([str(tmp_path / "m"), str(tmp_path / "c")]) == 1 and validate.main([str(tmp_path / "no"), str(tmp_path / "c")]) == 1
+        assert files.read_gold(spark, str(tmp_path / "m")).count() == 134
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "g.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-2\nS1-2\tS2-3\nS1-1\tS2-4,,S2-5\nS1-3\t\n")
+    assert sorted(map(tuple, files.read_gold(spark, str(tmp_path / "g.tsv")).collect())) == [("S1-1", "S2-4"), ("S1-1", "S2-5"), ("S1-2", "S2-3")]
+
+
+def test_blank_ids_are_violations(spark):
+    def lines(head, *rows):
+        return spark.createDataFrame([(i, x) for i, x in enumerate([validate.HEADERS[head], *rows])], "n long, line string")
+
+    c, m = lines("candidates", "S1-1\tS2-1,,S2-2", "S1-2\tS2-1"), lines("matches", "S1-1\tS2-1,S2-1", "S1-2\tS2-1,")
+    got = {r.check: r.n for r in validate.violations(c, m).collect() if r.n}
+    assert got == {"candidate_id": 1, "match_id": 1, "subset": 1, "one_owner": 1}
+
+
 def test_diagnosis(spark):
     def keys(rows):
         return spark.createDataFrame(rows, "entity_id string, key string")
