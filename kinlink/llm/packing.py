@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm.common import named, ship, table
-from kinlink.llm.tokens import encoder
+from kinlink.llm.tokens import KEEP, encoder
 
 AT_ONCE = 256
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -133,9 +133,9 @@ def step_groups(sizes: list[int], step_tokens: int) -> list[int]:
     return out
 
 
-def _pack(vocabulary: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int, step_tokens: int):
+def _pack(vocabulary: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int, step_tokens: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(vocabulary, end_id).encode, Packer(tiers)
+        encode, packer = encoder(vocabulary, end_id, keep).encode, Packer(tiers)
         first = TaskContext.get().partitionId() << 33
         made = [first, first]
 
@@ -166,12 +166,12 @@ def _pack(vocabulary: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int
 
 def pack_documents(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 2, tiers: tuple[int, ...] = TIERS,
-    pool_tokens: int = 1 << 20, step_tokens: int = 1 << 15,
+    pool_tokens: int = 1 << 20, step_tokens: int = 1 << 15, keep: int = KEEP,
 ) -> DataFrame:
-    """The pieces (PIECES) of all documents; ids are little-endian unsigned 32-bit."""
+    """The pieces (PIECES) of all documents; ids are little-endian unsigned 32-bit. keep: how many words' ids a worker remembers, memory for time."""
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
-    return own.mapInArrow(_pack(vocabulary, end_id, tuple(tiers), pool_tokens, step_tokens), PIECES)
+    return own.mapInArrow(_pack(vocabulary, end_id, tuple(tiers), pool_tokens, step_tokens, keep), PIECES)
 
 
 def with_digests(pieces: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def vocabulary(name_or_path: str) -> str:
 class Known(dict):
     """The ids of pieces as bytes, had from the library when first asked for."""
 
-    def __init__(self, tokenizer, spaces_stay: bool):
+    def __init__(self, tokenizer, spaces_stay: bool, keep: int):
         super().__init__()
-        self.tokenizer, self.model, self.spaces_stay = tokenizer, tokenizer.model, spaces_stay
+        self.tokenizer, self.model, self.spaces_stay, self.keep = tokenizer, tokenizer.model, spaces_stay, keep
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -66,7 +66,7 @@ class Known(dict):
                 found = self.tokenizer.encode(piece, add_special_tokens=False).ids
                 ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
-            if len(self) >= KEEP:
+            if len(self) >= self.keep:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -74,9 +74,9 @@ class Known(dict):
 
 
 class TextEncoder:
-    """encode(texts) gives each text's ids' bytes, with end_id appended. It keeps the ids of the pieces used last, KEEP to 2 * KEEP of them."""
+    """encode(texts) gives each text's ids' bytes, with end_id appended. It keeps the ids of the pieces used last, keep to 2 * keep of them: memory for time."""
 
-    def __init__(self, name_or_path: str, end_id: int | None = 2):
+    def __init__(self, name_or_path: str, end_id: int | None = 2, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -92,7 +92,7 @@ class TextEncoder:
         starts = {"" if t["normalized"] else t["content"][:2] for t in given["added_tokens"]}
         self.mark = starts.pop() if len(starts) == 1 else ""  # what every added token begins with, sought before the rest
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.known = Known(self.tokenizer, self.spaces_stay)
+        self.known = Known(self.tokenizer, self.spaces_stay, keep)
 
     def _is_plain(self, text: str) -> bool:
         """Whether a text has plain characters of Latin-1, spaces and line ends only, these single and inside where they stay."""
@@ -121,9 +121,9 @@ class TextEncoder:
 _encoders: dict[tuple, TextEncoder] = {}
 
 
-def encoder(name_or_path: str, end_id: int | None = 2) -> TextEncoder:
+def encoder(name_or_path: str, end_id: int | None = 2, keep: int = KEEP) -> TextEncoder:
     """One encoder a Python worker, which serves many tasks."""
-    key = (name_or_path, end_id)
+    key = (name_or_path, end_id, keep)
     if key not in _encoders:
-        _encoders[key] = TextEncoder(name_or_path, end_id)
+        _encoders[key] = TextEncoder(name_or_path, end_id, keep)
     return _encoders[key]
