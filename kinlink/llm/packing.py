@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import named, ship, table
+from kinlink.llm.common import named, ship, table, tidy
 from kinlink.llm.tokens import KEEP, encoder
 
 AT_ONCE = 256
@@ -171,7 +171,7 @@ def pack_documents(
     """The pieces (PIECES) of all documents; ids are little-endian unsigned 32-bit. keep: how many words' ids a worker remembers, memory for time."""
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
-    return own.mapInArrow(_pack(vocabulary, end_id, tuple(tiers), pool_tokens, step_tokens, keep), PIECES)
+    return own.mapInArrow(tidy(_pack(vocabulary, end_id, tuple(tiers), pool_tokens, step_tokens, keep)), PIECES)
 
 
 def with_digests(pieces: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import columns_of, named, no_clash, ship, table
+from kinlink.llm.common import columns_of, give_back, named, no_clash, ship, table, tidy
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -82,7 +82,7 @@ def count_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """key and COUNTS of every document."""
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
-    return own.mapInArrow(_counter, "key long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return own.mapInArrow(tidy(_counter), "key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features() -> dict[str, Column]:
@@ -247,6 +247,7 @@ def keep_good(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> Data
 
 def _count_column(texts: pa.Array) -> pa.Array:
     rows = [statistics(t.as_py()) for t in texts]
+    give_back()
     return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))], list(COUNTS))
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import columns_of, materialise, named, no_clash, not_in, only_in, ship, spread_join, table
+from kinlink.llm.common import columns_of, materialise, named, no_clash, not_in, only_in, ship, spread_join, table, tidy
 
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     """doc_id, text_hash and fp (the fingerprint as a signed long) of every document."""
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text"))
-    return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_fingerprinter(size), "doc_id long, text_hash long, fp long")
+    return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_fingerprinter(size)), "doc_id long, text_hash long, fp long")
 
 
 def segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -227,7 +227,7 @@ def near_links(fps: DataFrame, *, part_rows: int = 1 << 16) -> DataFrame:
     every = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
     rows = rows.select("start", "value", F.explode(every).alias("pair"), "fp").select("start", "value", "pair.p", "pair.q", "fp")
     by = ["start", "value", "p", "q"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_linker, "a long, b long")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(_linker), "a long, b long")
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
@@ -430,11 +430,11 @@ def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity:
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     part = own.where(F.pmod("text_hash", F.lit(max(1, own.count() // sample))) == 0).select("text_hash", "text")
-    seen = part.mapInArrow(_setter(size), "text_hash long, shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").count()
+    seen = part.mapInArrow(tidy(_setter(size)), "text_hash long, shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").count()
     top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).toArrow()  # bounded
     known, often = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(known)
-    return own.mapInArrow(_keyer(size, similarity, known[order], often[order]), "doc_id long, text_hash long, fp long, n int, bits long, more long, keys array<long>")
+    return own.mapInArrow(tidy(_keyer(size, similarity, known[order], often[order])), "doc_id long, text_hash long, fp long, n int, bits long, more long, keys array<long>")
 
 
 def _in_parts(rows: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
@@ -453,14 +453,14 @@ def similar_links(fps: DataFrame, docs: DataFrame, *, text: str, size: int, simi
     """Edges (a, b) between the sets of similar_sets that connect all that are at least so alike; every edge is such a pair."""
     nodes = materialise(fps.dropDuplicates(["fp"]).select("fp", "text_hash", "n", "bits", "more", "keys"), "sets")
     rows = nodes.select(F.explode("keys").alias("h"), "fp", "n", "bits", "more")
-    maybe = _in_parts(rows, rows.groupBy("h").count(), "h", part_rows).mapInArrow(_clusterer(similarity), "a long, b long")
+    maybe = _in_parts(rows, rows.groupBy("h").count(), "h", part_rows).mapInArrow(tidy(_clusterer(similarity)), "a long, b long")
     linked = components(maybe)  # a root is no node there
     clusters = linked.select(F.col("node").alias("fp"), F.col("root").alias("cluster")).unionByName(linked.select(F.col("root").alias("fp"), F.col("root").alias("cluster")).distinct())
     members = materialise(nodes.select("fp", "text_hash", "bits", "more").join(clusters, "fp"), "members")
     texts = docs.select(F.col(named(text)).cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
-    sets = only_in(texts, members, "text_hash").mapInArrow(_setter(size), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
+    sets = only_in(texts, members, "text_hash").mapInArrow(tidy(_setter(size)), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
     rows = sets.join(members, "text_hash").select("cluster", "fp", "shingles", "bits", "more")
-    return _in_parts(rows, members.groupBy("cluster").count(), "cluster", part_sets).mapInArrow(_comparer(similarity), "a long, b long")
+    return _in_parts(rows, members.groupBy("cluster").count(), "cluster", part_sets).mapInArrow(tidy(_comparer(similarity)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, similarity: float | None = None, part_rows: int = 1 << 16) -> DataFrame:
