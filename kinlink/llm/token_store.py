@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import named, open_store, scratch, ship, table
+from kinlink.llm.common import named, open_store, scratch, ship, table, tidy
 from kinlink.llm.tokens import encoder
 
 AT_ONCE = 256
@@ -101,7 +101,7 @@ def write_tokens(
     own = docs.select(F.col(named(key)).cast("long").alias("key"), F.col(named(text)).cast("string").alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     dealt = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.mapInArrow(_writer(folder, vocabulary, end_id, group_tokens, file_tokens, page_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
+    dealt.mapInArrow(tidy(_writer(folder, vocabulary, end_id, group_tokens, file_tokens, page_bytes)), MANIFEST).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
