@@ -116,7 +116,7 @@ def _reader(ids_as: str, group_of: int):
                 with store.open_input_file(path) as source:
                     file = pq.ParquetFile(source)
                     for g in range(file.num_row_groups):
-                        t = file.read_row_group(g, columns=wanted).combine_chunks()
+                        t = file.read_row_group(g, columns=wanted, use_threads=False).combine_chunks()  # a task has one core
                         columns = {"doc_id": t["doc_id"], "start": pa.array(t["start"].to_numpy() + base, pa.int64()), "n_tokens": t["n_tokens"]}
                         if ids_as != "none":
                             lists = t["ids"].chunk(0) if t["ids"].num_chunks else pa.array([], FILE.field("ids").type)
@@ -134,7 +134,7 @@ def read_tokens(manifest: DataFrame, *, ids: str = "bytes") -> DataFrame:
     ship(manifest.sparkSession)
     more = {"bytes": ", ids binary", "crc32": ", ids_crc32 long", "none": ""}[ids]
     files = manifest.select("file", "base")
-    return files.repartition(max(1, manifest.count())).mapInArrow(_reader(ids, 1 << 14), "doc_id long, start long, n_tokens long" + more)
+    return files.repartition(max(1, manifest.count())).mapInArrow(tidy(_reader(ids, 1 << 14)), "doc_id long, start long, n_tokens long" + more)
 
 
 def document_ids(spark: SparkSession, files: DataFrame, doc_id: int) -> DataFrame:
