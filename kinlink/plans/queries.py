@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from kinlink.config import Config, pair_grid, single_grid
 from kinlink.functions import text
-from kinlink.functions.lexicon import ADDR_STOP
 from kinlink.operators import blocking, decide, evaluate, model, similarity, validate
+from kinlink.plans.features import PAIRS_SQL, RANKED_SQL, RUNS, TOKENS, wide
 from kinlink.plans.sql import KEYS, RECORDS_SPARK, query
 from kinlink.sources import files
 
@@ -123,15 +123,9 @@ def _numbers(d: Derived) -> DataFrame:
     return d.prepared.select("entity_id", F.array_join(F.array_sort(text.digit_runs(F.col("addr_n"))), " ").alias("runs"), F.array_join(text.number_tokens(a), " ").alias("numbers"))
 
 
-TOKEN_FEATURES = (
-    "name_jacc", "digit_jacc", "digit_any", "first_tok_eq", "len_diff", "phon_first_eq", "acronym_eq", "name_empty", "addr_rare_shared", "num_shared",
-    "addr_contain", "name_contain", "is_s3",
-)
-
-
 def _tokens(d: Derived) -> DataFrame:
     wide = blocking.with_strings(d.pre, d.of(d.prepared, True), d.of(d.prepared, False))
-    return _rounded(similarity.token_features(wide).select("s1_id", "cand_id", *TOKEN_FEATURES))
+    return _rounded(similarity.token_features(wide).select("s1_id", "cand_id", *TOKENS))
 
 
 def _gbm(d: Derived) -> DataFrame:
@@ -193,15 +187,12 @@ def _macro(pairs: str) -> str:
     return f"SELECT round(avg(f), 6) AS f05, count(*) AS n_entities FROM (SELECT {_F05} AS f FROM ({_f05_sql(pairs)}))"
 
 
-_CONTAIN = "CASE WHEN least(len(list_distinct({0})), len(list_distinct({1}))) = 0 THEN -1.0 ELSE len(list_intersect({0}, {1})) / least(len(list_distinct({0})), len(list_distinct({1}))) END"
 _LISTS = "coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '')"
-_RARE = "list_distinct(list_filter({0}, lambda w: length(w) >= 5 AND regexp_matches(w, '^\\p{{L}}+$') AND w NOT IN ('" + "', '".join(ADDR_STOP) + "')))"
-_RUNS = "list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+'), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END))"
 
 SELECTS: dict[str, str] = {
     "entity_records": "SELECT * FROM records",
     "prepared_records": "SELECT entity_id, name_n, core, addr_n, country_n, phon FROM prepared",
-    "number_tokens": f"""SELECT entity_id, array_to_string({_RUNS.format('addr_n').replace('list_distinct(', 'list_sort(list_distinct(').replace('END))', 'END)))')}, ' ') AS runs, array_to_string(num, ' ') AS numbers
+    "number_tokens": f"""SELECT entity_id, array_to_string({RUNS.format('addr_n').replace('list_distinct(', 'list_sort(list_distinct(').replace('END))', 'END)))')}, ' ') AS runs, array_to_string(num, ' ') AS numbers
   FROM ready JOIN prepared USING (entity_id)""",
     **{f"keys_{f}": f"SELECT DISTINCT entity_id, country_n || '|' || unnest({KEYS[f]}) AS key FROM ready" for f in KEYS},
     "blocking_keys": "SELECT entity_id, key FROM keys",
@@ -209,16 +200,9 @@ SELECTS: dict[str, str] = {
     "key_index": "SELECT cand_id, key, block_size, round(w, 5) AS w FROM idx",
     "pair_counts": "SELECT s1_id, cand_id, shared_keys, round(key_idf, 4) AS key_idf FROM met",
     "candidate_pairs": "SELECT s1_id, cand_id, shared_keys, round(key_idf, 4) AS key_idf, cand_pos FROM pre",
-    "token_features": f""", wide AS (SELECT s1_id, cand_id, x.core AS ca, y.core AS cb, u.t AS ta, v.t AS tb, u.p AS pa, v.p AS pb, u.a AS aa, v.a AS ab, u.num AS na, v.num AS nb,
-  {_RUNS.format('x.addr_n')} AS da, {_RUNS.format('y.addr_n')} AS db, {_RARE.format('u.a')} AS ra, {_RARE.format('v.a')} AS rb,
-  array_to_string(list_transform(u.t, lambda w: left(w, 1)), '') AS ia, array_to_string(list_transform(v.t, lambda w: left(w, 1)), '') AS ib
-  FROM pre JOIN prepared x ON x.entity_id = s1_id JOIN prepared y ON y.entity_id = cand_id JOIN ready u ON u.entity_id = s1_id JOIN ready v ON v.entity_id = cand_id)
-SELECT s1_id, cand_id, round(CASE WHEN len(ta) + len(tb) = 0 THEN 0.0 ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END, 6) AS name_jacc,
-  round(CASE WHEN len(da) + len(db) = 0 THEN -1.0 ELSE len(list_intersect(da, db)) / len(list_distinct(list_concat(da, db))) END, 6) AS digit_jacc,
-  (len(list_intersect(da, db)) > 0)::INT::DOUBLE AS digit_any, (ta[1] IS NOT DISTINCT FROM tb[1])::INT::DOUBLE AS first_tok_eq, abs(length(ca) - length(cb))::DOUBLE AS len_diff,
-  (pa[1] IS NOT DISTINCT FROM pb[1])::INT::DOUBLE AS phon_first_eq, (length(ia) >= 2 AND ia = replace(cb, ' ', '') OR length(ib) >= 2 AND ib = replace(ca, ' ', ''))::INT::DOUBLE AS acronym_eq,
-  ((ca = '')::INT + (cb = '')::INT)::DOUBLE AS name_empty, len(list_intersect(ra, rb))::DOUBLE AS addr_rare_shared, len(list_intersect(na, nb))::DOUBLE AS num_shared,
-  round({_CONTAIN.format('aa', 'ab')}, 6) AS addr_contain, round({_CONTAIN.format('ta', 'tb')}, 6) AS name_contain, (left(cand_id, 2) = 'S3')::INT::DOUBLE AS is_s3 FROM wide""",
+    "token_features": f", {wide('pre')} SELECT s1_id, cand_id, {', '.join(f'round({c}, 6) AS {n}' for n, c in TOKENS.items())} FROM wide",
+    "ranked_candidates": RANKED_SQL,
+    "pair_features": PAIRS_SQL,
     "context_features": """, c AS (SELECT *, (left(cand_id, 2) = 'S3')::INT::DOUBLE AS is_s3, row_number() OVER o::DOUBLE AS p_rank, max(p) OVER g AS p_top1,
   coalesce(nth_value(p, 2) OVER (PARTITION BY s1_id ORDER BY p DESC, cand_pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS p_top2, p - lead(p, 1, 0.0) OVER o AS p_gap2,
   (count(*) FILTER (p >= 0.5) OVER g)::DOUBLE AS n_ge05, (count(*) FILTER (p >= 0.3) OVER g)::DOUBLE AS n_ge03, sum(p) OVER g AS p_sum, (count(*) OVER g)::DOUBLE AS n_cands,

@@ -18,7 +18,7 @@ def plain(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["prepared_records", "number_tokens", "validated_lists", "blocking_keys", "candidate_pairs", "token_features", "context_features", "match_lists", "threshold_grid", "miss_classes"])
+@pytest.mark.parametrize("name", ["prepared_records", "number_tokens", "validated_lists", "blocking_keys", "candidate_pairs", "token_features", "ranked_candidates", "pair_features", "context_features", "match_lists", "threshold_grid", "miss_classes"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
