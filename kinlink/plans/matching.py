@@ -108,7 +108,7 @@ def stage2(spark: SparkSession, work: Work, out: str, trees: int | None = None)
     chosen = next(r for r in table if r["chosen"])
     fitted = model.fit_stage2(context.where(F.col("p") >= chosen["tau"]), config, trees)
     files.write_model(fitted, f"{work.root}/model/stage2")
-    pruned, matched = model.apply_stage2(fitted, testfe(spark, work).withColumnRenamed("prob", "p"), chosen["tau"], chosen["threshold"])
+    pruned, matched = model.apply_stage2(model.second(fitted), testfe(spark, work).withColumnRenamed("prob", "p"), chosen["tau"], chosen["threshold"])
     everyone = prep(spark, work, "test")[0].select(F.col("entity_id").alias("s1_id"))
     files.write_lists(decide.match_lists(everyone, pruned, "candidate_entity_ids"), f"{out}/candidate_pairs")
     files.write_lists(decide.match_lists(everyone, matched), f"{out}/matching_results")

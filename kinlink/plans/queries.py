@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.config import Config, pair_grid, single_grid
+from kinlink.config import Config, pair_grid, single_grid, stage2_grid
 from kinlink.functions import text
 from kinlink.operators import blocking, decide, evaluate, model, similarity, validate
 from kinlink.plans.features import PAIRS_SQL, RANKED_SQL, RUNS, TOKENS, wide
@@ -19,6 +19,7 @@ from kinlink.sources import files
 
 CONFIG = Config()
 T_TOP, T_REST = 0.5, 0.7
+SAMPLE, STAGE2_FROM = 200, 0.3
 
 
 class Derived:
@@ -135,6 +136,60 @@ def _gbm(d: Derived) -> DataFrame:
     return model.score(model.fit_stage1(labelled.where(~held), CONFIG, trees=5), labelled, "prob").select("s1_id", "cand_id", "cand_pos", "y", "prob")
 
 
+def _labelled(d: Derived) -> DataFrame:
+    """Pairs with their context and label."""
+    return similarity.label(decide.context_features(d.keep().scored), d.gold)
+
+
+CELL = ("_rank", "is_s3", "s3_best")
+
+
+def _rates(rows: DataFrame) -> model.Scorer:
+    """Stands in for trees where SQL is to follow: the rate of matches among the labelled rows of a cell, of which there are at most 20."""
+
+    def cells(df: DataFrame) -> DataFrame:
+        return df.withColumn("_rank", F.least("p_rank", F.lit(5.0)))
+
+    rates = cells(rows).groupBy(*CELL).agg(((F.sum("y") + 1) / (F.count("*") + 2)).alias("rate"))
+    return lambda df: cells(df).join(F.broadcast(rates), list(CELL), "left").withColumn("p2", F.coalesce("rate", F.lit(0.5))).drop("_rank", "rate")
+
+
+def _taus(d: Derived) -> DataFrame:
+    """Threshold and cross-validated F0.5 of every pruning level, and which is chosen."""
+    table = model.choose_tau(files.written(_labelled(d)), d.entities, d.gold, CONFIG, learn=_rates)
+    return d.docs.sparkSession.createDataFrame([(r["tau"], r["threshold"], r["f05"], r["chosen"]) for r in table], "tau double, threshold double, f05 double, chosen boolean")
+
+
+def _stage2(d: Derived) -> tuple[DataFrame, DataFrame]:
+    """Pruned candidates and matches of the second stage at the published pruning level."""
+    labelled = files.written(_labelled(d))
+    return model.apply_stage2(_rates(labelled.where(F.col("p") >= CONFIG.tau)), d.scored, CONFIG.tau, STAGE2_FROM)
+
+
+def _split(d: Derived) -> DataFrame:
+    id_ = F.col("s1_id")
+    return d.entities.select("s1_id", (model.bucket(id_, 5, CONFIG.seed) == 0).alias("held"), model.bucket(id_, CONFIG.folds, CONFIG.seed + 1).alias("fold"))
+
+
+def _read_back(d: Derived) -> DataFrame:
+    path = f"{files.scratch(d.docs.sparkSession)}/records"
+    files.write_records(d.records, path)
+    return files.read_records(d.docs.sparkSession, path)
+
+
+def _gold_back(d: Derived) -> DataFrame:
+    path = f"{files.scratch(d.docs.sparkSession)}/gold"
+    files.write_lists(decide.match_lists(d.entities, d.gold), path)
+    return files.read_gold(d.docs.sparkSession, path)
+
+
+def _index_back(d: Derived) -> DataFrame:
+    """The index of a stage that is made once; the second call finds it done and reads three of its columns."""
+    spark, path = d.docs.sparkSession, f"{files.scratch(d.docs.sparkSession)}/index"
+    files.stage(spark, path, lambda: d.index)
+    return _rounded(files.stage(spark, path, lambda: d.index.limit(0), ["cand_id", "key", "w"]), 5)
+
+
 def _family(name: str) -> Callable[[Derived], DataFrame]:
     return lambda d: blocking.blocking_keys(d.prepared, (name,))
 
@@ -171,9 +226,19 @@ PLANS: dict[str, Callable[[Derived], DataFrame]] = {
     "list_statistics": _totals,
     "list_histogram": _sizes,
     "gbm_scores": _gbm,
+    "labelled_pairs": lambda d: _rounded(similarity.label(d.scored, d.gold)),
+    "entity_sample": lambda d: model.sample_entities(d.of(d.prepared, True), SAMPLE, CONFIG.seed),
+    "entity_split": _split,
+    "held_out_grid": lambda d: _rounded(model.held_out_grid(d.scored, d.entities, d.gold, CONFIG)),
+    "tau_choice": lambda d: _rounded(_taus(d)),
+    "pruned_candidates": lambda d: _rounded(_stage2(d)[0].select("s1_id", "cand_id", "cand_pos", "p", "p_rank")),
+    "stage2_matches": lambda d: _rounded(_stage2(d)[1].select("s1_id", "cand_id", "cand_pos", "p2")),
+    "records_file": _read_back,
+    "gold_file": _gold_back,
+    "index_stage": _index_back,
 }
 
-_GRID = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate([(t, t) for t in single_grid()] + pair_grid()))
+_SETTINGS = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate([(t, t) for t in single_grid()] + pair_grid()))
 _F05 = "CASE WHEN n_gold = 0 THEN (n_pred = 0)::INT::DOUBLE WHEN hits = 0 THEN 0.0 ELSE 1.25 * (hits / n_pred) * (hits / n_gold) / (0.25 * (hits / n_pred) + hits / n_gold) END"
 
 
@@ -189,6 +254,40 @@ def _macro(pairs: str) -> str:
 
 _LISTS = "coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '')"
 
+_CONTEXT = """, c AS (SELECT *, (left(cand_id, 2) = 'S3')::INT::DOUBLE AS is_s3, row_number() OVER o::DOUBLE AS p_rank, max(p) OVER g AS p_top1,
+  coalesce(nth_value(p, 2) OVER (PARTITION BY s1_id ORDER BY p DESC, cand_pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS p_top2, p - lead(p, 1, 0.0) OVER o AS p_gap2,
+  (count(*) FILTER (p >= 0.5) OVER g)::DOUBLE AS n_ge05, (count(*) FILTER (p >= 0.3) OVER g)::DOUBLE AS n_ge03, sum(p) OVER g AS p_sum, (count(*) OVER g)::DOUBLE AS n_cands,
+  (p >= max(p) OVER (PARTITION BY s1_id, left(cand_id, 2)))::INT::DOUBLE AS b FROM scored WINDOW g AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY p DESC, cand_pos))
+"""
+
+
+def _grid(entities: str) -> str:
+    return f""", grid(pos, t_top, t_rest) AS (VALUES {_SETTINGS}), r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_pos) AS n FROM scored WHERE s1_id IN (SELECT s1_id FROM {entities})),
+k AS (SELECT pos, r.s1_id, count(*) AS n_pred, count(g.s1_id) AS hits FROM r JOIN grid ON (n = 1 AND p >= t_top) OR p >= t_rest LEFT JOIN gold g ON g.s1_id = r.s1_id AND g.cand_id = r.cand_id GROUP BY ALL),
+e AS (SELECT s1_id, count(g.s1_id) AS n_gold FROM {entities} LEFT JOIN gold g USING (s1_id) GROUP BY 1)
+SELECT pos, t_top, t_rest, round(avg({_F05}), 6) AS f05 FROM (SELECT grid.*, n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(hits, 0) AS hits FROM grid CROSS JOIN e LEFT JOIN k ON k.pos = grid.pos AND k.s1_id = e.s1_id) GROUP BY ALL"""
+
+
+def _part(n: int, seed: int) -> str:
+    return f"('0x' || substr(md5(s1_id || ':{seed}'), 1, 8))::BIGINT % {n}"
+
+
+_HELD = f"(SELECT s1_id FROM entities WHERE {_part(5, CONFIG.seed)} = 0)"
+_CTX = f"""{_CONTEXT}, ctx AS MATERIALIZED (SELECT c.s1_id, c.cand_id, cand_pos, p, p_rank, least(p_rank, 5.0) AS r, is_s3, b * is_s3 AS s3_best, (g.s1_id IS NOT NULL)::INT AS y,
+  {_part(CONFIG.folds, CONFIG.seed + 1).replace('s1_id', 'c.s1_id')} AS fold FROM c LEFT JOIN gold g ON g.s1_id = c.s1_id AND g.cand_id = c.cand_id)
+"""
+_TAUS = f"""{_CTX}, taus AS (SELECT unnest({list(CONFIG.taus)})::DOUBLE AS tau), steps AS (SELECT unnest({stage2_grid()})::DOUBLE AS t), folds AS (SELECT unnest(range({CONFIG.folds})) AS k),
+cells AS (SELECT tau, k, r, is_s3, s3_best, (sum(y) + 1) / (count(*) + 2) AS rate FROM taus JOIN ctx ON p >= tau JOIN folds ON fold <> k GROUP BY ALL),
+pooled AS MATERIALIZED (SELECT u.tau, x.s1_id, x.y, coalesce(rate, 0.5) AS p2 FROM taus u JOIN ctx x ON x.p >= u.tau LEFT JOIN cells z ON z.tau = u.tau AND z.k = x.fold AND z.r = x.r AND z.is_s3 = x.is_s3 AND z.s3_best = x.s3_best),
+n AS (SELECT tau, t, s1_id, count(*) AS n_pred, sum(y) AS hits FROM pooled JOIN steps ON p2 >= t GROUP BY ALL), e AS (SELECT s1_id, count(g.s1_id) AS n_gold FROM entities LEFT JOIN gold g USING (s1_id) GROUP BY 1),
+f AS (SELECT tau, t, avg({_F05}) AS f05 FROM (SELECT tau, t, n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(hits, 0) AS hits FROM taus CROSS JOIN steps CROSS JOIN e LEFT JOIN n USING (tau, t, s1_id)) GROUP BY ALL),
+best AS (SELECT tau, t AS threshold, f05, max(f05) OVER () - {CONFIG.tolerance} <= f05 AS enough FROM f QUALIFY row_number() OVER (PARTITION BY tau ORDER BY round(f05, 10) DESC, t) = 1)
+SELECT tau, threshold, round(f05, 6) AS f05, tau = (SELECT max(tau) FROM best WHERE enough) AS chosen FROM best"""
+_APPLIED = f"""{_CTX}, rates AS (SELECT r, is_s3, s3_best, (sum(y) + 1) / (count(*) + 2) AS rate FROM ctx WHERE p >= {CONFIG.tau} GROUP BY ALL),
+claims AS (SELECT s1_id, cand_id, cand_pos, rate AS p2 FROM ctx JOIN rates USING (r, is_s3, s3_best) WHERE p >= {CONFIG.tau} AND rate >= {STAGE2_FROM}),
+kept AS (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY p2 DESC, split_part(s1_id, '-', 2)::BIGINT) = 1)
+SELECT s1_id, cand_id, cand_pos, round(p2, 6) AS p2 FROM kept"""
+
 SELECTS: dict[str, str] = {
     "entity_records": "SELECT * FROM records",
     "prepared_records": "SELECT entity_id, name_n, core, addr_n, country_n, phon FROM prepared",
@@ -203,11 +302,7 @@ SELECTS: dict[str, str] = {
     "token_features": f", {wide('pre')} SELECT s1_id, cand_id, {', '.join(f'round({c}, 6) AS {n}' for n, c in TOKENS.items())} FROM wide",
     "ranked_candidates": RANKED_SQL,
     "pair_features": PAIRS_SQL,
-    "context_features": """, c AS (SELECT *, (left(cand_id, 2) = 'S3')::INT::DOUBLE AS is_s3, row_number() OVER o::DOUBLE AS p_rank, max(p) OVER g AS p_top1,
-  coalesce(nth_value(p, 2) OVER (PARTITION BY s1_id ORDER BY p DESC, cand_pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS p_top2, p - lead(p, 1, 0.0) OVER o AS p_gap2,
-  (count(*) FILTER (p >= 0.5) OVER g)::DOUBLE AS n_ge05, (count(*) FILTER (p >= 0.3) OVER g)::DOUBLE AS n_ge03, sum(p) OVER g AS p_sum, (count(*) OVER g)::DOUBLE AS n_cands,
-  (p >= max(p) OVER (PARTITION BY s1_id, left(cand_id, 2)))::INT::DOUBLE AS b FROM scored WINDOW g AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY p DESC, cand_pos))
-SELECT s1_id, cand_id, cand_pos, round(p, 6) AS p, is_s3, p_rank, round(p_top1, 6) AS p_top1, round(p_top2, 6) AS p_top2, round(p_gap2, 6) AS p_gap2, n_ge05, n_ge03, round(p_sum, 6) AS p_sum, n_cands,
+    "context_features": _CONTEXT + """SELECT s1_id, cand_id, cand_pos, round(p, 6) AS p, is_s3, p_rank, round(p_top1, 6) AS p_top1, round(p_top2, 6) AS p_top2, round(p_gap2, 6) AS p_gap2, n_ge05, n_ge03, round(p_sum, 6) AS p_sum, n_cands,
   round(p_top1 - p, 6) AS p_gap, round(p / greatest(p_sum, 1e-9), 6) AS p_share, b * is_s3 AS s3_best, b * (1 - is_s3) AS s2_best FROM c""",
     "one_owner": "SELECT s1_id, cand_id, cand_pos, round(p, 6) AS p FROM owned",
     "decoded_matches": "SELECT s1_id, cand_id, cand_pos, round(p, 6) AS p FROM decoded",
@@ -215,10 +310,7 @@ SELECT s1_id, cand_id, cand_pos, round(p, 6) AS p, is_s3, p_rank, round(p_top1,
     "candidate_lists": f"SELECT s1_id AS source1_entity_id, {_LISTS} AS candidate_entity_ids FROM entities LEFT JOIN scored USING (s1_id) GROUP BY 1",
     "macro_f05": _macro("decoded"),
     "entity_f05": f"SELECT s1_id, n_pred, n_gold, hits, round({_F05}, 6) AS f05 FROM ({_f05_sql('decoded')})",
-    "threshold_grid": f""", grid(pos, t_top, t_rest) AS (VALUES {_GRID}), r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_pos) AS n FROM scored),
-k AS (SELECT pos, r.s1_id, count(*) AS n_pred, count(g.s1_id) AS hits FROM r JOIN grid ON (n = 1 AND p >= t_top) OR p >= t_rest LEFT JOIN gold g ON g.s1_id = r.s1_id AND g.cand_id = r.cand_id GROUP BY ALL),
-e AS (SELECT s1_id, count(g.s1_id) AS n_gold FROM entities LEFT JOIN gold g USING (s1_id) GROUP BY 1)
-SELECT pos, t_top, t_rest, round(avg({_F05}), 6) AS f05 FROM (SELECT grid.*, n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(hits, 0) AS hits FROM grid CROSS JOIN e LEFT JOIN k ON k.pos = grid.pos AND k.s1_id = e.s1_id) GROUP BY ALL""",
+    "threshold_grid": _grid("entities"),
     "all_empty_floor": _macro("(SELECT * FROM gold LIMIT 0)"),
     "f05_ceiling": _macro("(SELECT s1_id, cand_id FROM scored JOIN gold USING (s1_id, cand_id))"),
     "blocking_recall": """SELECT *, round(n_found / greatest(n_gold, 1), 6) AS recall, round(n_pairs / greatest(n_entities, 1), 6) AS pairs_each FROM (SELECT (SELECT count(*) FROM gold) AS n_gold,
@@ -248,6 +340,16 @@ UNION ALL SELECT 'one_owner', count(*) FROM claims JOIN (SELECT x, arg_min(s, i)
   (SELECT count(*) FROM entities WHERE s1_id NOT IN (SELECT s1_id FROM scored)) AS no_candidates, (SELECT count(*) FROM entities WHERE s1_id NOT IN (SELECT s1_id FROM decoded)) AS no_matches,
   (SELECT count(*) FROM decoded WHERE left(cand_id, 2) = 'S3') AS n_s3, (SELECT count(*) FROM decoded WHERE left(cand_id, 2) = 'S2') AS n_s2,
   (SELECT count(*) FROM scored WHERE left(cand_id, 2) = 'S2') AS n_candidates_s2, (SELECT count(*) FROM scored WHERE left(cand_id, 2) = 'S3') AS n_candidates_s3, (SELECT count(DISTINCT cand_id) FROM decoded) AS n_unique""",
+    "labelled_pairs": "SELECT s.s1_id, s.cand_id, cand_pos, round(p, 6) AS p, (g.s1_id IS NOT NULL)::INT AS y FROM scored s LEFT JOIN gold g ON g.s1_id = s.s1_id AND g.cand_id = s.cand_id",
+    "entity_sample": f"SELECT s1_id FROM entities ORDER BY md5(s1_id || ':{CONFIG.seed}'), s1_id LIMIT {SAMPLE}",
+    "entity_split": f"SELECT s1_id, {_part(5, CONFIG.seed)} = 0 AS held, ({_part(CONFIG.folds, CONFIG.seed + 1)})::INT AS fold FROM entities",
+    "held_out_grid": _grid(_HELD),
+    "tau_choice": _TAUS,
+    "pruned_candidates": f"{_CONTEXT} SELECT s1_id, cand_id, cand_pos, round(p, 6) AS p, p_rank FROM c WHERE p >= {CONFIG.tau}",
+    "stage2_matches": _APPLIED,
+    "records_file": "SELECT entity_id, business_name, business_address, coalesce(country, '') AS country FROM records",
+    "gold_file": "SELECT s1_id, cand_id FROM gold",
+    "index_stage": "SELECT cand_id, key, round(w, 5) AS w FROM idx",
     "list_histogram": """SELECT CASE WHEN c >= 10 THEN '>=10' ELSE c::VARCHAR END AS size, count(*) AS n FROM (SELECT s1_id, count(d.s1_id) AS c FROM entities LEFT JOIN decoded d USING (s1_id) GROUP BY 1) GROUP BY 1""",
 }
 

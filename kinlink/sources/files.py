@@ -59,9 +59,14 @@ def stage(spark: SparkSession, path: str, make, columns: list[str] | None = None
     return read.select(*columns) if columns else read
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df by way of a table in the shared folder of spark.checkpoint.dir (on one machine without it, a temporary one), deleted when the application ends."""
-    spark = df.sparkSession
+def write_records(records: DataFrame, path: str) -> None:
+    """What read_records reads: tab-separated parts, each with the header, nothing quoted."""
+    plain = records.select(*(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]", " ").alias(c) for c in ("entity_id", "business_name", "business_address", "country")))
+    plain.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in the shared one of spark.checkpoint.dir (on one machine without it, a temporary one), deleted when the application ends."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.partition("[")[0] != "local":
@@ -69,8 +74,14 @@ def written(df: DataFrame) -> DataFrame:
         root = f"file://{tempfile.gettempdir()}/kinlink-{os.getpid()}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/matching-{uuid.uuid4().hex}")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    df.write.parquet(f"{folder.toString()}/t")
-    return spark.read.schema(df.schema).parquet(f"{folder.toString()}/t")
+    return folder.toString()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df by way of a table in a scratch folder."""
+    path = f"{scratch(df.sparkSession)}/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_bucketed_index(index: DataFrame, table: str, buckets: int) -> None:

@@ -249,7 +249,7 @@ def test_learning_end_to_end(spark):
     assert [r["tau"] for r in table if r["chosen"]] == [max(r["tau"] for r in table if r["f05"] >= best - 0.001)]
     assert best > decide.macro_f05(entities, gold.limit(0), gold).first().f05
     fitted = model.fit_stage2(context.where("p >= 0.2"), trees=3)
-    pruned, matched = model.apply_stage2(fitted, pairs.drop("y"), 0.2, 0.5)
+    pruned, matched = model.apply_stage2(model.second(fitted), pairs.drop("y"), 0.2, 0.5)
     assert matched.groupBy("cand_id").count().where("count > 1").count() == 0
     assert matched.join(pruned, ["s1_id", "cand_id"], "left_anti").count() == 0
 
