@@ -5,18 +5,21 @@ code points (ip: parts at most 255; card: 16 to 19 digits, Luhn; phone: 8 to 15
 lengths of the pieces that split() leaves between the matches. Possessive forms and a look behind keep a pattern from
 being tried again inside a run that it has refused, so a text of one long run takes linear time; the finds are the same.
 
-The method looks at instances: what stands behind a cue (a colon, an equals or number sign, a quote or bracket). Their
-lexical patterns are the cue with the word before it, and with the two words before it. Instances that look like one
-of the kinds, or are runs of 32 or more hexadecimal digits, are the seeds. Spark scores the graph of patterns and
+The method looks at instances: the finds of the fixed patterns, what stands behind a cue (a colon, an equals or number
+sign, a quote or bracket), and every token with a digit and six characters or more, wherever it stands. Their lexical
+patterns are the word before with what lies between, and the two words before. The finds, and instances that look like
+one of the kinds or are runs of 32 or more hexadecimal digits, are the seeds. Spark scores the graph of patterns and
 instances in rounds: a pattern's confidence is the mean over its distinct instances, shrunk where they are few; an
-instance's is the noisy-or over its confident patterns; seeds stay certain, and what stands behind the same cues
-without being an identifier counts against a pattern. Patterns of high confidence and support then mark the
+instance's is the noisy-or over its confident patterns; seeds stay certain. What stands behind the same words without
+being an identifier counts against a pattern: behind a cue each distinct instance, behind plain words every occurrence,
+counted over all texts for the patterns that have support. Patterns of high confidence and support then mark the
 identifiers behind them (kind `found`) whatever they look like: with a digit, of six characters or more.
 
 Spans and instances are written, and all rounds work on aggregated edges. No pattern's or instance's rows are gathered
 in one place: what a third of all texts share is one row of counts after partial sums. The trusted patterns, few beside
 the texts, go with the tasks as a constant where they are counted to be at most `MOST_BYTES`, else they are joined, with
-equal results. The query reads texts once; the masking reads them again, with no shuffle while the patterns are few.
+equal results. The query reads texts twice, for the instances and for the counts; the masking reads them once more, with
+no shuffle while the patterns are few.
 
 Defined results: a null or empty text has no spans. Repeated rows give repeated results. A null doc_id stays. Spans
 found by the method that touch a fixed span are left out. An empty table gives no rows. Other columns are ignored by
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import columns_of, materialise, named, spread_join, table
+from kinlink.llm.common import Sieve, columns_of, materialise, named, only_in, spread_join, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds, in forms that find the same without trying a run twice.
@@ -39,8 +42,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # What a text must have for a pattern to be tried.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]", "cue": r"""[:=#"'(\[<]""", "token": "[0-9]"}
 CUE = r"""[:=#"'(\[<][\x20"'(\[<]{0,3}+[A-Za-z0-9+][A-Za-z0-9_.@+/-]*+"""
+BEHIND_CUE = r"""[:=#"'(\[<][\x20"'(\[<]{0,3}$"""
+TOKEN = r"(?<![\p{L}\p{N}_.@+/-])(?=[A-Za-z_.@+/-]*+[0-9])[A-Za-z0-9+](?:[_.@+/-]*+[A-Za-z0-9])++"
+WORD = r"[\p{L}\p{N}_]++[^\p{L}\p{N}_+]*+"
 SEED = r"^(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{16,19}|\+[0-9].*|[0-9A-Fa-f]{32,})$"
 IDENTIFIER = r"^(?=.*[0-9]).{6,}$"
 MOST_BYTES, SPREAD = 4 << 20, 16
@@ -78,7 +84,7 @@ def located(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
 
     In steps that the optimizer keeps apart, since a later one names an earlier one's costly column more than once."""
     t = F.col(named(text))
-    df = df.withColumns({f"{k}_m": F.when(t.contains(NEEDS[k]) if k == "email" else t.rlike(NEEDS.get(k, p[: p.index("]") + 1])), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for k, p in patterns.items()})
+    df = df.withColumns({f"{k}_m": F.when(t.contains(NEEDS[k]) if k == "email" else t.rlike(NEEDS[k]), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for k, p in patterns.items()})
     df = df.withColumns({f"{k}_p": F.when(F.size(f"{k}_m") > 0, F.split(t, p, -1)) for k, p in patterns.items()})
 
     def places(k: str) -> Column:
@@ -96,45 +102,74 @@ def located(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     return df.withColumns({k: places(k) for k in patterns}).drop(*(f"{k}_{x}" for k in patterns for x in "mp"))
 
 
-def _instances(cues: Column) -> Column:
-    """(start, end, instance, patterns) of the cues' matches that have a word before."""
+def _one_space(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[\x20\t\r\n]+", " ")
+
+
+def _instances(matches: Column, rank: int, *, cue: bool = False) -> Column:
+    """(start, rank, end, instance, patterns) of matches; of those that start at one place the lowest rank is to count. cue: they begin with their cue."""
 
     def one(m: Column) -> Column:
-        cue = F.regexp_extract(m["match"], r"^[^A-Za-z0-9+]+", 0)
-        near = F.concat(F.lower(m["before"]), F.regexp_replace(cue, r"\x20+", " "))
+        lead = F.regexp_extract(m["match"], r"^[^A-Za-z0-9+]+", 0) if cue else F.lit("")
+        near = _one_space(F.concat(m["before"], lead))
         w1 = F.regexp_extract(near, r"([\p{L}\p{N}_]++[^\p{L}\p{N}_]*+)$", 1)
         w2 = F.regexp_extract(near, r"([\p{L}\p{N}_]++[^\p{L}\p{N}_]++[\p{L}\p{N}_]++[^\p{L}\p{N}_]*+)$", 1)
-        return F.struct((m["start"] + F.length(cue)).alias("start"), m["end"].alias("end"), F.substr(m["match"], F.length(cue) + 1).alias("instance"), F.array_distinct(F.array(w1, w2)).alias("patterns"))
+        patterns = F.filter(F.array_distinct(F.array(w1, w2)), lambda p: p != "")
+        return F.struct((m["start"] + F.length(lead)).alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.substr(m["match"], F.length(lead) + 1).alias("instance"), patterns.alias("patterns"))
 
-    made = F.transform(cues, one)
-    return F.transform(made, lambda x: x.withField("patterns", F.filter(x["patterns"], lambda p: p != "")))
+    return F.transform(matches, one)
 
 
 def _kept(kind: str) -> Column:
-    passing = F.filter(F.col(kind), lambda m: _passes(kind, m["match"]))
-    return F.transform(passing, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    return F.filter(F.col(kind), lambda m: _passes(kind, m["match"]))
+
+
+def _places(kind: str) -> Column:
+    return F.transform(kind, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
 
 def entities_of(docs: DataFrame, key: str, text: str, *keep: Column) -> DataFrame:
-    """doc_id, t (the text), the four kinds' spans and the cues' instances of every document."""
+    """doc_id, t (the text), the four kinds' spans and all instances (cues) of every document."""
     own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.coalesce(F.col(named(text)).cast("string"), F.lit("")).alias("t"), *keep)
-    return located(own, "t", {**PATTERNS, "cue": CUE}).withColumns({**{k: _kept(k) for k in KINDS}, "cues": _instances(F.col("cue"))}).drop("cue")
+    found = located(own, "t", {**PATTERNS, "cue": CUE, "token": TOKEN}).withColumns({k: _kept(k) for k in KINDS})
+    tokens = _instances(F.filter("token", lambda m: F.length(m["match"]) >= 6), 2)
+    cues = F.array_sort(F.concat(*(_instances(F.col(k), 0) for k in KINDS), _instances(F.col("cue"), 1, cue=True), tokens))
+    first = F.filter("cues", lambda x, i: (i == 0) | (F.get(F.col("cues"), i - 1)["start"] != x["start"]))
+    return found.withColumn("cues", cues).withColumn("cues", first).withColumns({k: _places(k) for k in KINDS}).drop("cue", "token")
 
 
 def search(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, the four kinds' spans and the cues' instances of every document, written to a table."""
+    """row, doc_id, the four kinds' spans and all instances of every document, written to a table."""
     found = entities_of(docs, key, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, "cues")
     return materialise(found, "entities")  # written, so rows keep their numbers
 
 
-def trusted_patterns(found: DataFrame, *, rounds: int = 3, confidence: float = 0.7, support: int = 3) -> DataFrame:
-    """pattern, conf and n (distinct instances) of the patterns that the graph's rounds trust."""
-    cues = found.select(F.explode("cues").alias("c")).select(F.lower("c.instance").alias("instance"), F.explode("c.patterns").alias("pattern"))
-    edges = cues.groupBy("pattern", "instance").agg(F.count("*").alias("n")).withColumn("seed", F.col("instance").rlike(SEED))
-    edges = materialise(edges, "edges")
+def _counts(texts: Column | str, docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern and places: how often its words stand before another word or token in all texts. patterns: a written table."""
+    n = patterns.count()
+    sieve = Sieve(patterns.select(F.xxhash64("pattern").alias("h")), n)
+    units = docs.select(F.regexp_extract_all(_one_space(texts), F.lit(WORD), F.lit(0)).alias("u"))
+    # a word and the one before it, of all words but the last
+    beside = F.zip_with(F.slice("u", F.lit(1), F.greatest(F.size("u") - 1, F.lit(0))), F.concat(F.array(F.lit("")), F.slice("u", F.lit(1), F.greatest(F.size("u") - 2, F.lit(0)))), lambda w, v: F.struct(w.alias("w"), v.alias("v")))
+    words = units.where(F.size("u") > 1).select(F.explode(beside).alias("x")).select("x.w", F.concat("x.v", "x.w").alias("vw"))
+    may = [F.when(sieve.may_hold(F.xxhash64(c)), F.col(c)) for c in ("w", "vw")]
+    hits = words.select(F.explode(F.array_distinct(F.array(*may))).alias("pattern")).where("pattern is not null")
+    return only_in(hits.groupBy("pattern").agg(F.count("*").alias("places")), patterns, "pattern")
+
+
+def trusted_patterns(found: DataFrame, docs: DataFrame, text: str = "text", *, rounds: int = 3, confidence: float = 0.7, support: int = 3) -> DataFrame:
+    """pattern, conf and n (distinct instances) of the patterns that the graph's rounds trust. found: search of docs."""
+    cues = found.select(F.explode("cues").alias("c")).select(F.lower("c.instance").alias("instance"), (F.col("c.rank") == 0).alias("sure"), F.explode("c.patterns").alias("pattern"))
+    edges = cues.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
+    edges = materialise(edges.withColumn("seed", F.col("sure") | F.col("instance").rlike(SEED)).drop("sure"), "edges")
+    plain = edges.where(~F.col("pattern").rlike(BEHIND_CUE)).groupBy("pattern").agg(F.count("*").alias("kinds"), F.sum("n").alias("held"))
+    plain = materialise(plain.where(F.col("kinds") >= support).drop("kinds"), "plain")
+    others = _counts(F.col(named(text)).cast("string"), docs, plain).join(plain, "pattern", "right")
+    others = materialise(others.select("pattern", F.greatest(F.coalesce("places", F.lit(0)) - F.col("held"), F.lit(0)).alias("others")), "others")
     sure = edges.withColumn("conf", F.col("seed").cast("double"))
     for _ in range(rounds):
-        scored = sure.groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("conf"), F.count("*").alias("n"))
+        scored = sure.groupBy("pattern").agg(F.sum("conf").alias("conf"), F.count("*").alias("n")).where(F.col("n") >= support).join(others, "pattern", "left")
+        scored = scored.select("pattern", (F.col("conf") / (F.col("n") + F.coalesce("others", F.lit(0)) + 1)).alias("conf"), "n")
         patterns = materialise(scored.where((F.col("conf") >= 0.5) & (F.col("n") >= support)), "patterns")
         held = spread_join(edges, patterns, "pattern", by="instance", n="n")
         ors = held.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.99)))))).alias("conf"))
@@ -173,7 +208,7 @@ def _add_found(entities: DataFrame, patterns: DataFrame, row: str, most_bytes: i
 def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES, **how) -> DataFrame:
     """row, doc_id, the spans (start, end) of email, ip, card, phone and found of every document, each in order."""
     entities = search(docs, key, text)
-    return _add_found(entities, trusted_patterns(entities, **how), "row", most_bytes)
+    return _add_found(entities, trusted_patterns(entities, docs, text, **how), "row", most_bytes)
 
 
 def _named(kind: str) -> Column:
@@ -186,7 +221,7 @@ def _tagged(kind: str) -> Column:
 
 def mask(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: str | None = None, most_bytes: int = MOST_BYTES, **how) -> DataFrame:
     """The documents with their spans replaced by [EMAIL] and so on; touching spans become one, named as the first. length: a column that follows the text's length."""
-    patterns = trusted_patterns(search(docs, key, text), **how)
+    patterns = trusted_patterns(search(docs, key, text), docs, text, **how)
     # the row number, not being deterministic, keeps the search from being done for every use of its spans
     entities = entities_of(docs, key, text, F.struct(*columns_of(docs)).alias("own"), F.monotonically_increasing_id().alias("row"))
     found = _add_found(entities if _constant(patterns, most_bytes) is not None else materialise(entities, "texts"), patterns, "row", most_bytes)

@@ -341,6 +341,30 @@ def test_patterns_discover_unseen_identifiers_and_masking(spark):
     assert pii.mask(own).count() == len(rows)
 
 
+def test_plain_words_before_finds_are_patterns(spark):
+    r = random.Random(15)
+    rows = [(i, f"{prose(r, 9)} reach me at u{i}.x@mail.de {prose(r, 4)} or call +1 (132) 555-{1000 + i} {prose(r, 3)}") for i in range(9)]
+    rows += [(20, "so reach me at QX1234567 today"), (21, "please or call QX-1234-77 then"), (22, f"{prose(r, 5)} AB1234567 {prose(r, 5)}"), *ODD]
+    rows += [(30 + i, f"the number {1000000 + i} and the {w} stand") for i, w in enumerate(WORDS[:9])]
+    rows += [(50 + i, f"the card 4539578763621486{i} here the card {w} there") for i, w in enumerate(WORDS[:9])]
+    rows += [(70 + i, f"write to v{i}.y@mail.de and write to {w} too") for i, w in enumerate(WORDS[:9])] + [(90, "write to AB1234567 now")]
+    own = docs(spark, rows)
+    found = {x.doc_id: [dict(rows)[x.doc_id][s.start : s.end] for s in x.found] for x in pii.personal_data(own).collect() if x.doc_id is not None and x.doc_id < 9000}
+    assert found[20] == ["QX1234567"] and found[21] == ["QX-1234-77"] and found[22] == []
+    assert found[90] == []  # half of what stands behind 'write to' are plain words
+    assert all(found[30 + i] == [] for i in range(9))
+    # the counts of plain patterns against a slow count
+    entities = pii.search(own)
+    wanted = spark.createDataFrame([("me at ",), ("at ",), ("the ",), ("write to ",), ("nowhere ",)], "pattern string")
+    got = {x.pattern: x.places for x in pii._counts(F.col("text"), own, wanted).collect()}
+    slow = Counter()
+    for _, t in rows:
+        u = re.findall(r"[^\W]+[^\w+]*", re.sub(r"[ \t\r\n]+", " ", (t or "").lower()))
+        for i, w in enumerate(u[:-1]):
+            slow.update({w, (u[i - 1] if i else "") + w})
+    assert got == {p: slow[p] for p in ("me at ", "at ", "the ", "write to ")} and entities.count() == len(rows)
+
+
 def test_patterns_that_are_joined_find_the_same(spark):
     r = random.Random(16)
     rows = [(i, f'{prose(r, 6)} token = "{hashlib.md5(str(i).encode()).hexdigest()}" a.b@c.de') for i in range(8)] + [(20, 'token = "XYZ-77-pq"'), (21, 'token = "XYZ-77-pq" or token = "ABC-11-rs"'), *ODD]
