@@ -103,7 +103,7 @@ def located(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
 
 
 def _one_space(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[\x20\t\r\n]+", " ")
+    return F.regexp_replace(F.lower(text), r"[\t\r\n][\x20\t\r\n]*+|\x20[\x20\t\r\n]++", " ")  # single blanks stay as they are
 
 
 def _instances(matches: Column, rank: int, *, cue: bool = False) -> Column:
@@ -149,11 +149,11 @@ def _counts(texts: Column | str, docs: DataFrame, patterns: DataFrame) -> DataFr
     n = patterns.count()
     sieve = Sieve(patterns.select(F.xxhash64("pattern").alias("h")), n)
     units = docs.select(F.regexp_extract_all(_one_space(texts), F.lit(WORD), F.lit(0)).alias("u"))
-    # a word and the one before it, of all words but the last
-    beside = F.zip_with(F.slice("u", F.lit(1), F.greatest(F.size("u") - 1, F.lit(0))), F.concat(F.array(F.lit("")), F.slice("u", F.lit(1), F.greatest(F.size("u") - 2, F.lit(0)))), lambda w, v: F.struct(w.alias("w"), v.alias("v")))
-    words = units.where(F.size("u") > 1).select(F.explode(beside).alias("x")).select("x.w", F.concat("x.v", "x.w").alias("vw"))
-    may = [F.when(sieve.may_hold(F.xxhash64(c)), F.col(c)) for c in ("w", "vw")]
-    hits = words.select(F.explode(F.array_distinct(F.array(*may))).alias("pattern")).where("pattern is not null")
+    # each word but the last with the one before it, looked up in the array beside it, so that all is generated code;
+    # an outer explode, since for the other a filter on the size is put below the array, which is then made twice
+    words = units.select("u", F.posexplode_outer("u").alias("i", "w")).where("i < size(u) - 1").select("w", F.coalesce(F.get("u", F.col("i") - 1), F.lit("")).alias("v"))
+    one, two = sieve.may_hold(F.xxhash64("w")), (F.col("v") != "") & sieve.may_hold(F.xxhash64(F.concat("v", "w")))
+    hits = words.where(one | two).select(F.explode(F.array(F.when(one, F.col("w")), F.when(two, F.concat("v", "w")))).alias("pattern")).where("pattern is not null")
     return only_in(hits.groupBy("pattern").agg(F.count("*").alias("places")), patterns, "pattern")
 
 
