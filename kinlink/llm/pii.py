@@ -45,7 +45,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]", "cue": r"""[:=#"'(\[<]""", "token": "[0-9]"}
 CUE = r"""[:=#"'(\[<][\x20"'(\[<]{0,3}+[A-Za-z0-9+][A-Za-z0-9_.@+/-]*+"""
 BEHIND_CUE = r"""[:=#"'(\[<][\x20"'(\[<]{0,3}$"""
-TOKEN = r"(?<![\p{L}\p{N}_.@+/-])(?=[A-Za-z_.@+/-]*+[0-9])[A-Za-z0-9+](?:[_.@+/-]*+[A-Za-z0-9])++"
+TOKEN = r"(?<![\p{L}\p{N}_.@+/-])(?=[A-Za-z0-9_.@+/-]{6})(?=[A-Za-z_.@+/-]*+[0-9])[A-Za-z0-9+](?:[_.@+/-]*+[A-Za-z0-9])++"
 WORD = r"[\p{L}\p{N}_]++[^\p{L}\p{N}_+]*+"
 SEED = r"^(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{16,19}|\+[0-9].*|[0-9A-Fa-f]{32,})$"
 IDENTIFIER = r"^(?=.*[0-9]).{6,}$"
