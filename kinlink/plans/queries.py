@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinlink.config import Config, pair_grid, single_grid, stage2_grid
 from kinlink.functions import text
 from kinlink.operators import blocking, decide, evaluate, model, similarity, validate
+from kinlink.plans import matching
 from kinlink.plans.features import PAIRS_SQL, RANKED_SQL, RUNS, TOKENS, wide
 from kinlink.plans.sql import KEYS, RECORDS_SPARK, query
 from kinlink.sources import files
@@ -23,7 +24,7 @@ SAMPLE, STAGE2_FROM = 200, 0.3
 
 
 class Derived:
-    """The tables of matching, from the documents of a folder; each is a plan, and nothing is run but by keep()."""
+    """The tables of matching, from the documents of a folder; each is a plan, and nothing is run but by keep() and features()."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._pre: DataFrame | None = None
@@ -76,6 +77,11 @@ class Derived:
     def ranked(self) -> DataFrame:
         return blocking.rank_candidates(self.pre, self.of(self.prepared, True), self.of(self.prepared, False), CONFIG)
 
+    def features(self, gold: DataFrame | None = None) -> DataFrame:
+        """All features of the ranked pairs, labelled where gold is given, written slice by slice."""
+        self.prepared = files.written(self.prepared)
+        return matching.sliced_features(self.of(self.prepared, True), self.of(self.prepared, False), files.written(self.index), CONFIG, gold)
+
 
 def _lines(d: Derived, pairs: DataFrame, column: str) -> DataFrame:
     lists = decide.match_lists(d.entities, pairs, column)
@@ -206,7 +212,7 @@ PLANS: dict[str, Callable[[Derived], DataFrame]] = {
     "candidate_pairs": lambda d: _rounded(d.pre, 4),
     "token_features": _tokens,
     "ranked_candidates": lambda d: d.ranked.select("s1_id", "cand_id", "cand_pos", "shared_keys", "key_idf", "name_tset", "addr_tset"),
-    "pair_features": lambda d: similarity.pair_features(d.ranked),
+    "pair_features": lambda d: d.features(),
     "context_features": lambda d: _rounded(decide.context_features(d.scored)),
     "one_owner": lambda d: _rounded(d.owned),
     "decoded_matches": lambda d: _rounded(d.matched),

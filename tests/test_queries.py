@@ -2,11 +2,13 @@
 
 import math
 import os
+import time
 
 import duckdb
 import pytest
 
-from kinlink.operators import blocking
+from kinlink.operators import blocking, similarity
+from kinlink.plans.matching import features_of, sliced_features
 from kinlink.plans.queries import QUERIES, SQL, Derived
 from kinlink.streaming.incremental import match_arrivals
 
@@ -48,3 +50,30 @@ def test_batches_resume(spark, tmp_path):
             lambda batch: blocking.candidate_pairs(blocking.blocking_keys(batch), index), str(tmp_path / "out"), str(tmp_path / "state"),
         ).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == d.pre.count()
+
+
+def test_features_are_made_in_slices_that_leave_no_shuffles(spark):
+    from pathlib import Path
+
+    local = [Path(p.getPath()) for p in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {p for top in local for p in top.rglob("shuffle_*.data")}
+
+    d = Derived(spark, DATA)
+    s1, others, index = d.of(d.prepared, True).persist(), d.of(d.prepared, False).persist(), d.index.persist()
+    before = shuffles() if index.count() else set()
+    sliced = sliced_features(s1, others, index, gold=d.gold, entities=60)
+    deadline = time.time() + 20
+    while (left := shuffles() - before) and time.time() < deadline:  # executors delete behind the driver's back
+        time.sleep(0.2)
+    assert not left and len({f.rsplit("/", 2)[-2] for f in sliced.inputFiles()}) == 1 + s1.count() // 60 > 3
+    whole = similarity.label(features_of(s1, others, index), d.gold)
+    assert sliced.columns == whole.columns and sorted(map(str, sliced.collect())) == sorted(map(str, whole.collect()))
+    wanted = {(r.s1_id, r.cand_id) for r in d.gold.collect()}
+    assert all(r.y == ((r.s1_id, r.cand_id) in wanted) for r in sliced.collect()) and sliced.where("y = 1").count()
+
+
+@pytest.mark.parametrize("name", ["pair_features"])
+def test_no_shuffle_of_the_pairs_of_features_is_left_to_the_caller(spark, name):
+    assert "Exchange" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
