@@ -74,6 +74,6 @@ def test_features_are_made_in_slices_that_leave_no_shuffles(spark):
     assert all(r.y == ((r.s1_id, r.cand_id) in wanted) for r in sliced.collect()) and sliced.where("y = 1").count()
 
 
-@pytest.mark.parametrize("name", ["pair_features"])
+@pytest.mark.parametrize("name", ["pair_features", "gbm_scores"])
 def test_no_shuffle_of_the_pairs_of_features_is_left_to_the_caller(spark, name):
     assert "Exchange" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
