@@ -16,7 +16,7 @@ Components are found by large-star and small-star rounds over the edges, with mi
 With a `similarity`, as the corpus pipeline asks for, texts are linked by the exact Jaccard similarity of their sets of
 shingles instead. Sets 0.8 alike differ in about 19 of 128 bits, give or take 4, so the radius is `WIDE` (40) bits; no
 index of such a radius prunes by itself, so fingerprints are compared among texts that share a key. A text's keys are
-the first of its shingles in one order of all, those that a sample holds often last and the rest by hash. Two sets so
+the first of its shingles in one order of all, those that many texts hold last and the rest by hash. Two sets so
 alike share one of their first n - ceil(similarity * n) + 1; a text of more takes as many that the chance of no common
 key is below `MISS` (1e-10) a pair, in most texts 17. Sets that are equal are one node. Texts that share a key and are
 within the radius, directly or through others, are a cluster; a cluster's sets meet in one task, or where it is large
@@ -43,6 +43,7 @@ WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
 SEGMENTS, RADIUS = len(WIDTHS), 4
 WIDE, MISS = 40, 1e-10
+BUCKET_BITS, CHUNK = 20, 1 << 12
 
 
 def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -299,7 +300,7 @@ def n_keys(n: int, rare: int, similarity: float) -> int:
 
 
 def _keyer(size: int, similarity: float, known: np.ndarray, often: np.ndarray):
-    """known: hashes in order that a sample holds often, and how often."""
+    """known: hashes in order that many texts hold, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -425,14 +426,84 @@ def _comparer(similarity: float):
     return run
 
 
-def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity: float, sample: int = 4_000) -> DataFrame:
-    """doc_id, text_hash, fp (a hash of the shingle set), n (its size), bits and more (its SimHash) and keys of every document. The sample only orders the keys."""
+def _held(batches: Iterator[pa.RecordBatch], size: int, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The hashes of the shingle sets of a column of texts, some at a time."""
+    hashes, held, waiting = Hashes(), [], 0
+    for b in batches:
+        for t in b.column(0):
+            held.append(shingle_set(t.as_py(), size, hashes))
+            waiting += len(held[-1])
+            if waiting > at_once:
+                yield np.concatenate(held)
+                held, waiting = [], 0
+    if waiting:
+        yield np.concatenate(held)
+
+
+def _bucket_counter(size: int):
+    """Counts by the first bits of a hash, in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for h in _held(batches, size):
+            total += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        chunks = total.astype("<i8").reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
+
+    return run
+
+
+def _bucket_adder(least: int):
+    """Of each chunk the buckets that hold at least so many, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, counts in zip(b.column(0).to_pylist(), b.column(1)):
+                total[i] = total.get(i, 0) + np.frombuffer(counts.as_py(), "<i8")
+        packed = [np.packbits(x >= least).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bits"])
+
+    return run
+
+
+def _counter(size: int, packed: np.ndarray):
+    """Counts of the hashes in buckets whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.unpackbits(packed).view(bool)
+        for h in _held(batches, size):
+            values, counts = np.unique(h[full[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["h", "n"])
+
+    return run
+
+
+def frequent(texts: DataFrame, size: int, least: int) -> DataFrame:
+    """h and n: the shingles that at least so many rows of the column of texts hold, each with the number of all that do.
+
+    A first pass counts by the first bits of the hashes; what is in a bucket of fewer is no such shingle, and a second
+    pass counts the others one by one. So all rows are counted, and few of their shingles are moved."""
+    ship(texts.sparkSession)
+    chunks = texts.mapInArrow(tidy(_bucket_counter(size)), "chunk int, counts binary").repartition("chunk")
+    packed = np.zeros((1 << BUCKET_BITS) // 8, np.uint8)
+    for r in chunks.mapInArrow(tidy(_bucket_adder(least)), "chunk int, bits binary").toArrow().to_pylist():  # a bit a bucket
+        packed[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    counts = texts.mapInArrow(tidy(_counter(size, packed)), "h long, n long")
+    return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def similar_sets(docs: DataFrame, *, key: str, text: str, size: int, similarity: float, share: float = 7.5e-4, most: int = 100_000) -> DataFrame:
+    """doc_id, text_hash, fp (a hash of the shingle set), n (its size), bits and more (its SimHash) and keys of every document.
+
+    Keys are ordered by the counts, over all rows, of the shingles that such a share of them holds; of these most reach the
+    driver, the most frequent. Any one order finds the same pairs; this one keeps what many texts hold out of the keys."""
     ship(docs.sparkSession)
     own = docs.select(F.col(named(key)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    part = own.where(F.pmod("text_hash", F.lit(max(1, own.count() // sample))) == 0).select("text_hash", "text")
-    seen = part.mapInArrow(tidy(_setter(size)), "text_hash long, shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").count()
-    top = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(100_000).toArrow()  # bounded
-    known, often = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
+    least = max(3, int(np.ceil(share * own.count())))
+    top = frequent(own.select("text"), size, least).orderBy(F.desc("n"), "h").limit(most).toArrow()  # bounded
+    known, often = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(known)
     return own.mapInArrow(tidy(_keyer(size, similarity, known[order], often[order])), "doc_id long, text_hash long, fp long, n int, bits long, more long, keys array<long>")
 

@@ -121,6 +121,23 @@ def slow_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_frequent_shingles_are_counted_over_all_rows(spark):
+    from xxhash import xxh64_intdigest
+
+    known, held = simhash.Hashes(), " ".join(f"w{k}" for k in range(30))
+    rows = [f"{i}a {i}b {i}c {i}d {i}e {i}f" for i in range(8000)]
+    with_it = (f"{held} " + " ".join(f"u{i}x{k}" for k in range(40)) for i in range(1000))
+    marked = [t for t in with_it if xxh64_intdigest(t.encode(), 42) % 2][:10]  # none is in a sample of the even hashes
+    texts = spark.createDataFrame(list(enumerate(rows + marked * 20)), "doc_id long, text string").repartition(5)
+    wanted = Counter(h for t in rows + marked * 20 for h in simhash.shingle_set(t, 5, known).view(np.int64).tolist())
+    assert {r.h: r.n for r in simhash.frequent(texts.select("text"), 5, 20).collect()} == {h: n for h, n in wanted.items() if n >= 20}
+    assert simhash.frequent(texts.limit(0).select("text"), 5, 1).count() == 0
+    once = spark.createDataFrame(list(enumerate(rows + marked)), "doc_id long, text string")
+    passage = set(simhash.shingle_set(held, 5, known).view(np.int64).tolist())
+    keys = [set(r["keys"]) for r in simhash.similar_sets(once, key="doc_id", text="text", size=5, similarity=0.8).where("doc_id >= 8000").collect()]
+    assert len(keys) == 10 and all(k and not k & passage for k in keys)
+
+
 def test_near_duplicates(spark):
     r = random.Random(9)
     base = prose(r, 400)
