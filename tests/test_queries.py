@@ -7,7 +7,9 @@ import time
 import duckdb
 import pytest
 
-from kinlink.operators import blocking, similarity
+from kinlink.config import Config
+from kinlink.operators import blocking, model, similarity
+from kinlink.plans import queries
 from kinlink.plans.matching import features_of, sliced_features
 from kinlink.plans.queries import QUERIES, SQL, Derived
 from kinlink.streaming.incremental import match_arrivals
@@ -77,3 +79,11 @@ def test_features_are_made_in_slices_that_leave_no_shuffles(spark):
 @pytest.mark.parametrize("name", ["pair_features", "gbm_scores"])
 def test_no_shuffle_of_the_pairs_of_features_is_left_to_the_caller(spark, name):
     assert "Exchange" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gbm_scores_trains_all_configured_trees(spark, monkeypatch):
+    score, seen = model.score, []
+    monkeypatch.setattr(model, "score", lambda fitted, *a: seen.append(fitted.stages[-1].getNumTrees) or score(fitted, *a))
+    monkeypatch.setattr(queries, "CONFIG", Config(max_trees=2))
+    QUERIES["gbm_scores"](spark, DATA)
+    assert seen == [2] and Config().max_trees == 600
