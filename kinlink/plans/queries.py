@@ -80,7 +80,8 @@ class Derived:
     def features(self, gold: DataFrame | None = None) -> DataFrame:
         """All features of the ranked pairs, labelled where gold is given, written slice by slice."""
         self.prepared = files.written(self.prepared)
-        return matching.sliced_features(self.of(self.prepared, True), self.of(self.prepared, False), files.written(self.index), CONFIG, gold)
+        index = blocking.build_index(files.written(self.keys(False)), CONFIG)  # which reads the keys twice
+        return matching.sliced_features(self.of(self.prepared, True), self.of(self.prepared, False), files.written(index), CONFIG, gold)
 
 
 def _lines(d: Derived, pairs: DataFrame, column: str) -> DataFrame:

@@ -260,3 +260,34 @@ def test_empty_tables(spark):
     pairs = blocking.candidate_pairs(keys, blocking.build_index(keys))
     assert similarity.pair_features(blocking.rank_candidates(pairs, none, none)).count() == 0
     assert decide.context_features(pairs.select("s1_id", "cand_id", "cand_pos", F.col("key_idf").cast("double").alias("p"))).count() == 0
+
+
+def test_batches_of_pairs_score_like_single_pairs_without_a_call_a_pair(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(1)
+    singles = {k: getattr(indel, k) for k in ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio")}
+    for letters, most in (("ab ", 4), ("abc 12", 30), ("abcdefgh  ", 90), ("aé漢字\t b", 20)):
+        pairs = [tuple("".join(draw.choices(letters, k=draw.randint(0, most))) for _ in "ab") for _ in range(150)] + [("", ""), ("", "a"), ("a b", "b a c")]
+        a, b = (pa.array([p[k] for p in pairs]) for k in (0, 1))
+        wanted = {k: np.array([f(*p) for p in pairs], np.float32) for k, f in singles.items()}
+        with monkeypatch.context() as patch:
+            patch.setattr(indel, "lcs", None)
+            if most < 60:  # texts of more than 32 words are scored one by one
+                patch.setattr(indel, "ratio", None)
+            for kind in singles:
+                assert (indel.many(kind, a, b).astype(np.float32) == wanted[kind]).all(), (kind, letters)
+    long = [("ab" * 150 + " c", "ba" * 140 + " c"), (" ".join(map(str, range(40))), " ".join(map(str, range(20, 70)))), (None, "x"), ("x" * 300, "x" * 300)]
+    for kind, f in singles.items():
+        got = indel.many(kind, *(pa.array([p[k] for p in long], pa.string()) for k in (0, 1)))
+        assert got == pytest.approx([f(a or "", b or "") for a, b in long]), kind
+    assert not len(indel.many("ratio", pa.array([], pa.string()), pa.array([], pa.string())))
+
+
+def test_token_features_split_texts_once_a_batch_and_not_once_a_pair(spark):
+    sides = {f"{s}_{c}": "x 1" for s in "ab" for c in ("core", "addr_n", "phon")}
+    plan = similarity.token_features(spark.createDataFrame([{"s1_id": "S1-1", "cand_id": "S2-1"} | sides]))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "regexp_extract_all" not in plan and plan.count("ArrowEvalPython [") <= 2
